@@ -93,19 +93,18 @@ def spans_hash(h: np.ndarray, k: int, salt: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    base = np.uint64(2 * salt + 0x5851F42D4C957F2D | 1)
     out, power, done = None, h.copy(), 0
     # doubling: power holds runs of length w, out the run of the k's low bits
-    w, bits, factor = 1, k, base
+    w, bits, factor = 1, k, (2 * salt + 0x5851F42D4C957F2D) | 1
     while bits:
         if bits & 1:
             part = power[done : done + n]
-            out = part.copy() if out is None else out * factor + part
+            out = part.copy() if out is None else out * np.uint64(factor) + part
             done += w
         bits >>= 1
         if bits:
-            power = power[:-w] * factor + power[w:]
-            factor, w = factor * factor, 2 * w
+            power = power[:-w] * np.uint64(factor) + power[w:]
+            factor, w = factor * factor % (1 << 64), 2 * w
     return mix(out)
 
 
@@ -120,6 +119,17 @@ def rows_of(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[
     return run
 
 
+def block_pairs(rows: DataFrame, key: str, item: str, size: str, block: int) -> DataFrame:
+    """Deals the members of each key out to blocks of about `block` and repeats them once for each pair of blocks.
+
+    rows has the key's number of members in `size`. Adds lo and hi (the pair of blocks) and own (the member's): members
+    of own = lo meet those of own = hi, so that any two members meet in exactly one (key, lo, hi), of bounded size.
+    """
+    blocks = F.ceil(F.col(size) / block)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64(item), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return dealt.withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_other", size)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long edges -> (id, component): the smallest id that each linked id can reach.
 

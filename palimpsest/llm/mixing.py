@@ -82,7 +82,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 def _fly(last: bool):
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_h", "doc_id", "size"], kind="stable", na_position="first").reset_index(drop=True)
+        part = part.sort_values(["_h", "_key", "size"], kind="stable").reset_index(drop=True)
         p, size = part["p"].to_numpy().copy(), part["size"].to_numpy(np.float64)
         at = np.flatnonzero((p > 0) & (p < 1))
         if len(at):
@@ -93,9 +93,22 @@ def _fly(last: bool):
     return run
 
 
+def row_key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs, each as often as the mix takes it; equal rows share what was taken of them."""
+    taken = cube_mix(docs, **options).groupBy("_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_key", row_key()).dropDuplicates(["_key"]).join(taken, "_key")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[f"`{c}`" for c in docs.columns])
+
+
 def cube_mix(docs: DataFrame, group: int = GROUP, **shares) -> DataFrame:
-    """doc_id, text, source -> doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source, copies."""
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    """doc_id, text, source -> doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source,
+    copies, and _key, which names the row by these three columns.
+    """
+    sized = docs.select(row_key().alias("_key"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
     sized = materialize(sized)
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     # one row a source: a bounded table, whose size Spark itself checks before it broadcasts it
@@ -103,9 +116,9 @@ def cube_mix(docs: DataFrame, group: int = GROUP, **shares) -> DataFrame:
     plan = materialize(plan.select(F.col("source").alias("_s"), "source_size", "target", "_n"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_r", ratio).withColumn("whole", F.floor(F.col("_r") + TINY)).withColumn("p", F.greatest(F.lit(0.0), F.col("_r") - F.col("whole")))
-    rows = rows.withColumn("p", F.when(F.col("p") < TINY, 0.0).otherwise(F.col("p"))).withColumn("_h", F.xxhash64("doc_id", "size") ).withColumn("_b", F.pmod(F.shiftright("_h", 16), F.ceil(F.col("_n") / group)))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "_h", "_n", "_b"]
-    schema = "doc_id long, source string, size long, source_size long, target double, whole long, p double, _h long, _n long, _b long"
+    rows = rows.withColumn("p", F.when(F.col("p") < TINY, 0.0).otherwise(F.col("p"))).withColumn("_h", F.xxhash64("_key", "size")).withColumn("_b", F.pmod(F.shiftright("_h", 16), F.ceil(F.col("_n") / group)))
+    columns = ["_key", "doc_id", "source", "size", "source_size", "target", "whole", "p", "_h", "_n", "_b"]
+    schema = "_key long, doc_id long, source string, size long, source_size long, target double, whole long, p double, _h long, _n long, _b long"
     open_ = F.col("p").between(F.lit(TINY), F.lit(1 - TINY))
     state, decided = rows.select(*columns), []
     most = plan.agg(F.max("_n")).first()[0] or 0
@@ -122,4 +135,4 @@ def cube_mix(docs: DataFrame, group: int = GROUP, **shares) -> DataFrame:
     for d in decided:
         state = state.unionByName(d)
     copies = F.col("whole") + F.col("p").cast("long")
-    return state.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"))
+    return state.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"), "_key")

@@ -12,12 +12,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_table
+
+    return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets, train
 
@@ -31,6 +49,18 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op7_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import embedding_near_duplicates
+
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import cube_mix
 
@@ -43,5 +73,5 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_html_extraction, op5_secret_scan, op6_harmonic_packing, op9_cube_mixing, op10_iso_media)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_html_extraction, op4_substring_dedup, op5_secret_scan, op6_harmonic_packing, op7_nn_descent_dedup, op8_elias_fano_lm, op9_cube_mixing, op10_iso_media)}
 ORACLES: dict[str, str] = {}
