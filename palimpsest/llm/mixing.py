@@ -4,7 +4,8 @@ Each source's target is its share of a budget of words, capped at a multiple of
 floor(target / size of the source) times and once more by a balanced sample: inclusion probabilities move through the
 null space of two constraints (documents and words taken), so that both totals stay, until all but two documents of a
 group are decided. Groups are (source, bucket) of bounded size; what a round leaves (two documents a group at most) is
-the next round's input, until one group a source is left and its last two land on the words' side nearest the target.
+the next round's input, until one group a source is left. Its last twelve documents are the landing problem: of all
+choices the one nearest to the words expected of them.
 
 Reruns agree: buckets, order and random steps follow hashes of the row alone. A null source is a source of its own,
 last in order; a null text has size 0. Repeated rows count each. An empty table gives no rows.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-WEIGHTS, SHARE, MOST, GROUP = (5.0, 2.0, 1.0), 1.5, 2.0, 1024
+WEIGHTS, SHARE, MOST, GROUP, LANDING = (5.0, 2.0, 1.0), 1.5, 2.0, 1024, 10
 TINY = 1e-9
 
 
@@ -51,14 +52,13 @@ def flight(size: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
 
 
 def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Decides the few open entries: the choice whose words are nearest to what was expected of them."""
+    """Decides the few open entries: the choice whose words, and then number, are nearest to what was expected."""
     at = np.flatnonzero((p > 0) & (p < 1))
     if len(at):
-        expected = (size[at] * p[at]).sum()
-        choices = [[(k >> j) & 1 for j in range(len(at))] for k in range(1 << len(at))]
-        best = min(choices, key=lambda c: (abs((size[at] * c).sum() - expected), abs(sum(c) - p[at].sum()), c))
+        choices = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
+        words = np.abs(choices @ size[at] - (size[at] * p[at]).sum())
         p = p.copy()
-        p[at] = best
+        p[at] = choices[np.lexsort((np.abs(choices.sum(axis=1) - p[at].sum()), words))[0]]
     return p
 
 
@@ -85,6 +85,7 @@ def _fly(last: bool):
         part = part.sort_values(["_h", "_key", "size"], kind="stable").reset_index(drop=True)
         p, size = part["p"].to_numpy().copy(), part["size"].to_numpy(np.float64)
         at = np.flatnonzero((p > 0) & (p < 1))
+        at = at[LANDING:] if last else at  # what is held back lands with what the flight leaves
         if len(at):
             p[at] = flight(size[at], p[at], int(part["_h"].iloc[0]))
         part["p"] = landing(size, p) if last else p
