@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICE = 512
 _TEMP: dict[str, str] = {}
 
 
@@ -109,12 +110,13 @@ def spans_hash(h: np.ndarray, k: int, salt: int) -> np.ndarray:
 
 
 def rows_of(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that handles a batch."""
+    """A mapInArrow function from one that handles a batch; it gets at most SLICE rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, SLICE):
+                if (out := fn(batch.slice(at, SLICE))) is not None:
+                    yield out
 
     return run
 
