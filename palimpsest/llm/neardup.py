@@ -7,9 +7,10 @@ values of some chunk; so a document is indexed under every chunk with every choi
 pairs under that distance meet in a bucket (beyond it most still do: at similarity 0.8 a pair is missed about once in
 ten million). Candidates are confirmed on their full shingle sets.
 
-A bucket's pairs are never all emitted: first each member meets the bucket's smallest one; then only members of buckets
-that still hold several components are compared, signature against signature within blocks of bounded size, and only
-pairs of different components that pass the signature threshold come out. So no link that joins components is lost.
+A bucket's pairs are never all emitted: first each member meets the bucket's most central one (that which meets most
+others over all buckets: the text that copies were made from); then only members of buckets
+that still hold several components are compared, in blocks of bounded size: signature against signature, and sets where those allow it. Only
+links between different components come out. So no link that joins components is lost.
 
 Null, empty or blank texts have no shingles and link with nothing; fewer words than a shingle are one shingle. Rows with
 a null doc_id are kept and link with nothing. Repeated rows give repeated rows. An empty table gives no rows.
@@ -31,8 +32,8 @@ from .common import WordHash, binary_values, block_pairs, connected_components,
 
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 K = CHUNKS * CHUNK
-FARTHEST = 32  # differing values of K beyond which no pair is confirmed: over six deviations from what 0.8 gives
-BLOCK, BIN = 512, 20_000
+FARTHEST = 28  # differing values of K beyond which no pair is confirmed: over five deviations from what 0.8 gives
+BLOCK, BIN, COLUMNS = 512, 4096, 4096
 BROADCAST_IDS = 1_000_000  # 8 MB; beyond it ids are joined by a shuffle
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,10 +112,8 @@ def near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(rows_of(keep), "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(u, v) of the pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    pairs = materialize(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, items): full shingle sets of the documents named in ids (_id). Others are sifted out before any text moves."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
@@ -123,8 +122,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size, hashes).tobytes() for t in binary_values(batch, 1)], pa.binary())], ["id", "items"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string")).join(ids, "_id", "left_semi").mapInArrow(sets, "id long, items binary")
-    found = materialize(found)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string")).join(ids, "_id", "left_semi")
+    return materialize(texts.mapInArrow(sets, "id long, items binary").where(F.octet_length("items") > 0))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v) of the pairs whose full shingle sets have 100 * intersection >= percent * union."""
+    pairs = materialize(pairs)
+    found = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), size)
     joined = pairs.join(found.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
     def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -138,37 +143,84 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return materialize(joined.select("a", "b", "x", "y").mapInArrow(rows_of(linked), "u long, v long").distinct())
 
 
-def rest_of_buckets(members: DataFrame, components: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b) candidates of different components within buckets that hold several; the bucket's pivot was tried before."""
-    labelled = members.join(components, members["rep"] == components["id"], "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("label"))
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets left with all sets right: products of incidence matrices, some columns at a time."""
+    items, column = np.unique(np.concatenate(left + right), return_inverse=True)
+    n = [len(x) for x in left + right]
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(items), COLUMNS):
+        s, e = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(n), COLUMNS), np.float32)
+        m[row[s:e], column[s:e] - at] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def spanning(labels: np.ndarray) -> list[int]:
+    """Numbers of those label pairs that a forest over the labels needs."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    out = []
+    for i, (a, b) in enumerate(labels.tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            above[a] = b
+            out.append(i)
+    return out
+
+
+def rest_of_buckets(members: DataFrame, components: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v) links between components, within buckets that hold several.
+
+    Members that such buckets chain together are a family. Its members meet in pairs of blocks, with their sets; what
+    passes the signature threshold is counted out in full there, and a block gives no more links than join its components.
+    """
+    labelled = members.join(components, members["rep"] == components["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     labelled = materialize(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("size")).where("_a < _b and size > 2").select("key", "size")
-    rows = labelled.join(mixed, "key").where("rep <> pivot").join(reps.select("rep", "n", "sig"), "rep")
-    rows = block_pairs(rows, "key", "rep", "size", BLOCK).select("key", "lo", "hi", "own", "rep", "label", "n", "sig")
-    rows = materialize(rows)
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_n"), F.min("rep").alias("u")).where("_a < _b and _n > 2").select("key", "u")
+    family = connected_components(labelled.join(mixed, "key").select("u", F.col("rep").alias("v"))).withColumnRenamed("component", "family")
+    family = materialize(family.join(labelled.select(F.col("rep").alias("id"), "label").distinct(), "id"))
+    items = sets_of(docs, family.select(F.col("id").alias("_id")), size)
+    rows = family.join(reps.select(F.col("rep").alias("id"), "n", "sig"), "id").join(items, "id")
+    rows = rows.join(family.groupBy("family").agg(F.count("*").alias("_size")), "family").withColumnRenamed("family", "key")
+    rows = materialize(block_pairs(rows, "key", "id", "_size", BLOCK))
     bins = max(1, rows.count() // BIN)
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["key", "lo", "hi"], kind="stable")
+        part = part.sort_values(["key", "lo", "hi", "label"], kind="stable")
         group = part[["key", "lo", "hi"]].to_numpy()
         edges = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
-        rep, label, n, own = (part[c].to_numpy() for c in ("rep", "label", "n", "own"))
-        sig = matrix(part["sig"].tolist())
-        out: set[tuple[int, int]] = set()
+        rep, label, n, own = (part[c].to_numpy() for c in ("id", "label", "n", "own"))
+        sig, sets = matrix(part["sig"].tolist()), part["items"].tolist()
+        u, v = [], []
         for s, e in itertools.pairwise([0, *edges, len(part)]):
             lo, hi = group[s][1:]
-            left = np.flatnonzero(own[s:e] == lo) + s
-            right = np.flatnonzero(own[s:e] == hi) + s
-            differ = (sig[left][:, None] != sig[right][None]).sum(axis=2)
-            big, small = np.maximum.outer(n[left], n[right]), np.minimum.outer(n[left], n[right])
-            ok = (differ <= FARTHEST) & (label[left][:, None] != label[right][None]) & (100 * small >= percent * big)
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                a, b = rep[left[i]], rep[right[j]]
-                out.add((min(a, b), max(a, b)))
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+            left, right = np.flatnonzero(own[s:e] == lo) + s, np.flatnonzero(own[s:e] == hi) + s
+            ok = (label[left][:, None] != label[right][None]) & (100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right]))
+            for i in np.flatnonzero(ok.any(axis=1)):
+                ok[i] &= (sig[left[i]] != sig[right]).sum(axis=1) <= FARTHEST
+            left, right, ok = left[ok.any(axis=1)], right[ok.any(axis=0)], ok[ok.any(axis=1)][:, ok.any(axis=0)]
+            if not ok.size:
+                continue
+            both = intersections([np.frombuffer(sets[i], np.uint64) for i in left], [np.frombuffer(sets[i], np.uint64) for i in right])
+            ok &= 100 * both >= percent * (np.add.outer(n[left], n[right]) - both)
+            pairs = np.argwhere(ok)
+            for i in spanning(np.stack((label[left[pairs[:, 0]]], label[right[pairs[:, 1]]]), axis=1)):
+                u.append(rep[left[pairs[i, 0]]])
+                v.append(rep[right[pairs[i, 1]]])
+        return pd.DataFrame({"u": pd.Series(u, dtype="int64"), "v": pd.Series(v, dtype="int64")})
 
     binned = rows.withColumn("_bin", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(bins)))
-    return binned.groupBy("_bin").applyInPandas(compare, "a long, b long").distinct()
+    return materialize(binned.groupBy("_bin").applyInPandas(compare, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -177,12 +229,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sets = materialize(signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     reps = sets.select("rep", "n", "sig")
     keys = index(reps)
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_far")).where("pivot < _far").drop("_far")
+    buckets = keys.groupBy("key").agg(F.min("rep").alias("_near"), F.max("rep").alias("_far"), F.count("*").alias("size")).where("_near < _far").select("key", "size")
     members = materialize(keys.join(buckets, "key"))
-    star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    central = members.groupBy("rep").agg(F.sum("size").alias("central"))
+    pivots = members.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("pivot"))
+    members = materialize(members.join(pivots, "key"))
+    star = members.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     links = confirm(near(star, reps, percent), docs, size, percent)
     components = connected_components(links)
-    more = confirm(rest_of_buckets(members, components, reps, percent), docs, size, percent)
+    more = rest_of_buckets(members, components, reps, docs, size, percent)
     components = connected_components(components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
     by_set = sets.join(components, sets["rep"] == components["id"], "left").select(F.col("set_id").alias("_s"), F.coalesce("component", "rep").alias("_c"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(by_set, F.col("set_id") == F.col("_s"), "left")
