@@ -69,12 +69,15 @@ class EliasFano:
 
     def successor(self, q: np.ndarray) -> np.ndarray:
         """Index of the first value that is not below each q (n: none)."""
-        at = np.searchsorted(self.high, (q >> np.uint64(self.low_bits)).astype(np.int64))
-        todo = np.flatnonzero(at < self.n)
-        while len(todo):
-            todo = todo[self.get(at[todo]) < q[todo]]
-            at[todo] += 1
-            todo = todo[at[todo] < self.n]
+        bucket = (q >> np.uint64(self.low_bits)).astype(np.int64)
+        at, end = np.searchsorted(self.high, bucket), np.searchsorted(self.high, bucket, "right")
+        todo = np.flatnonzero(at < end)
+        while len(todo):  # halves what is left of each bucket
+            middle = (at[todo] + end[todo]) >> 1
+            less = self.get(middle) < q[todo]
+            at[todo[less]] = middle[less] + 1
+            end[todo[~less]] = middle[~less]
+            todo = todo[at[todo] < end[todo]]
         return at
 
 
