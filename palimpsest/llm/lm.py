@@ -91,7 +91,7 @@ class Trie:
             parts.append(view[at : at + int(size)])
             at += int(size)
         self.contexts, self.pointers, self.successors = map(EliasFano, parts[:3])
-        self.codes, self.codebook = np.frombuffer(parts[3], np.uint8), np.frombuffer(parts[4], np.float32)
+        self.codes, self.codebook = np.frombuffer(parts[3], np.uint8), np.frombuffer(parts[4], np.float64)
 
     @staticmethod
     def pack(contexts: np.ndarray, pointers: np.ndarray, words: np.ndarray, probability: np.ndarray) -> bytes:
@@ -136,8 +136,8 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         share = np.minimum((np.cumsum(n) - n) * 255 // n.sum(), 254)
         share = np.unique(share, return_inverse=True)[1]
         means = np.bincount(share, weights=values * n) / np.bincount(share, weights=n)
-        return np.concatenate(([0], means)).astype(np.float32), (share[inverse] + 1).astype(np.uint8)
-    return np.concatenate(([0], values)).astype(np.float32), (inverse + 1).astype(np.uint8)
+        return np.concatenate(([0], means)).astype(np.float64), (share[inverse] + 1).astype(np.uint8)
+    return np.concatenate(([0], values)).astype(np.float64), (inverse + 1).astype(np.uint8)
 
 
 def held_out(doc: int | None) -> bool:
@@ -322,10 +322,11 @@ def scored(total: int, train_docs: int, shards: int, hot: tuple[np.ndarray, np.n
             a = by_shard[shard]
             n = heads.stop - heads.start
             numbers = np.frombuffer(zlib.decompress(a["heads"]), np.int64)
-            np.add.at(seen, context[heads], numbers[:n])
-            np.add.at(width, context[heads], numbers[n:])
+            names, once = np.unique(context[heads], return_index=True)  # parts of a context may share a shard
+            seen[names] += numbers[:n][once]
+            width[names] += numbers[n:][once]
             codes = np.frombuffer(zlib.decompress(a["codes"]), np.uint8)
-            book = np.concatenate(([0.0], 10.0 ** np.frombuffer(a["codebook"], np.float32)[1:].astype(np.float64)))
+            book = np.concatenate(([0.0], 10.0 ** np.frombuffer(a["codebook"], np.float64)[1:].astype(np.float64)))
             direct[b.pair_order[pairs]] = book[codes]
         c = seen[:v].astype(np.float64)
         c[b.vocab == END] = train_docs
