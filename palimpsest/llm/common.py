@@ -68,7 +68,7 @@ def words(text: bytes | None, lower: bool = False) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash as a signed long, remembered; starts anew beyond a bound, so that memory stays bounded."""
 
-    BOUND = 1_000_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
