@@ -109,14 +109,20 @@ def spans_hash(h: np.ndarray, k: int, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE rows, so that Python copies few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def rows_of(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from one that handles a batch; it gets at most SLICE rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                if (out := fn(batch.slice(at, SLICE))) is not None:
-                    yield out
+        for part in slices(batches):
+            if (out := fn(part)) is not None:
+                yield out
 
     return run
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary_values, block_pairs, connected_components, materialize, mix, rows_of, spans_hash, words
+from .common import WordHash, binary_values, block_pairs, connected_components, materialize, mix, rows_of, slices, spans_hash, words
 
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 K = CHUNKS * CHUNK
@@ -63,7 +63,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             n, ids, sigs = [], [], []
             for text in binary_values(batch, 1):
                 s = shingle_set(text, size, hashes)
@@ -119,7 +119,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size, hashes).tobytes() for t in binary_values(batch, 1)], pa.binary())], ["id", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string")).join(ids, "_id", "left_semi")
