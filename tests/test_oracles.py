@@ -2,10 +2,12 @@
 
 import pytest
 
-from palimpsest.plans.registry import ORACLES, QUERIES
+from palimpsest.plans import maintenance, registry
 
 from .conftest import SF
 
+ORACLES, QUERIES = {**registry.ORACLES, **maintenance.ORACLES}, {**registry.QUERIES, **maintenance.QUERIES}
+
 
 def norm(x):
     return round(x, 6) if isinstance(x, float) else x
