@@ -9,6 +9,7 @@ from palimpsest.operators import maintain
 from palimpsest.plans.registry import _DOCS, ARCHIVE_SQL
 from palimpsest.sources import archive
 from palimpsest.sources.archive import table
+from palimpsest.streaming import activity
 
 
 def active_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +75,15 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     return maintain.statements(table(spark, d, "conversations")).select("conv_id", "turn", "replaces", "digest", "tokens")
 
 
+
+def stream_activity(spark: SparkSession, d: str) -> DataFrame:
+    """The feed as a stream: events per closed day and type."""
+    path = f"{d}/events.parquet"
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/event[s].parquet")  # a pattern: a table may be one file
+    out = activity.drain(activity.windowed_activity(feed.withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "2 hours"), activity.new_folder(spark))
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 _EDGES = ARCHIVE_SQL + """, cl as (select *, lag(claim_id) over w p_id, lag(doc_id) over w p_doc, lag(observed_at) over w p_at from c window w as (partition by corpus_id, key order by observed_at, claim_id)),
 cx as (select * exclude (supersedes_id), case when supersedes_id is null and val % 5 = 0 and p_doc <> doc_id and p_at < observed_at then p_id else supersedes_id end supersedes_id from cl),
 latest as (select * from (select *, row_number() over (partition by doc_id order by version_number desc) r from v) x where r = 1 and event <> 'DELETED')
@@ -92,5 +102,6 @@ ORACLES = {
     "review_sample": "select * from (select quality, doc_id, row_number() over (partition by quality order by doc_id) as position from labels) where position <= 25",
     "stride_chunks": "select doc_id, order_index, sha256(substring(text, order_index * 448 + 1, 512)) digest from (select doc_id, text, cast(unnest(range(0, cast(greatest(0, ceil((length(text) - 512) / 448.0)) as bigint) + 1)) as int) order_index from documents where length(text) > 0)",
     "statements": "with s as (select conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^[# ]+', '')) t from conversations where role = 'user') select conv_id, turn, lag(turn) over (partition by conv_id order by turn) replaces, sha256(t) digest, greatest(1, length(t) // 4) tokens from s where t <> ''",
+    "stream_activity": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) n from events group by all having date_trunc('day', min(ts)) + interval 1 day <= (select max(ts) from events) - interval 2 hours",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
