@@ -2,11 +2,11 @@
 
 import pytest
 
-from palimpsest.plans import maintenance, registry
+from palimpsest.plans import answers, maintenance, registry
 
 from .conftest import SF
 
-ORACLES, QUERIES = {**registry.ORACLES, **maintenance.ORACLES}, {**registry.QUERIES, **maintenance.QUERIES}
+ORACLES, QUERIES = {**registry.ORACLES, **maintenance.ORACLES, **answers.ORACLES}, {**registry.QUERIES, **maintenance.QUERIES, **answers.QUERIES}
 
 
 def norm(x):
