@@ -130,16 +130,32 @@ class Trie:
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codebook with 0 for none first, codes from 1): exact up to 255 different values, else means of equal shares."""
-    values, inverse, n = np.unique(x, return_inverse=True, return_counts=True)
+    """(codebook with 0 for none first, codes from 1): exact up to 255 different values.
+
+    Beyond that, neighbours share a code where they lie within the least width that 255 codes allow, and take the middle
+    of their span: no value is off by more than half that width, and values further apart (the low counts) stay exact.
+    """
+    values, inverse = np.unique(x, return_inverse=True)
     if len(values) > 255:
-        share = np.minimum((np.cumsum(n) - n) * 255 // n.sum(), 254)
-        share = np.unique(share, return_inverse=True)[1]
-        means = np.bincount(share, weights=values * n) / np.bincount(share, weights=n)
-        return np.concatenate(([0], means)).astype(np.float64), (share[inverse] + 1).astype(np.uint8)
+        low, high = 0.0, float(values[-1] - values[0])
+        while high - low > 1e-6 * high:
+            middle = (low + high) / 2
+            low, high = (low, middle) if len(spans(values, middle)) <= 255 else (middle, high)
+        first = np.array(spans(values, high))
+        last = np.append(first[1:], len(values)) - 1
+        return np.concatenate(([0], (values[first] + values[last]) / 2)), np.searchsorted(first, inverse, "right").astype(np.uint8)
     return np.concatenate(([0], values)).astype(np.float64), (inverse + 1).astype(np.uint8)
 
 
+def spans(values: np.ndarray, width: float) -> list[int]:
+    """Where each span of sorted values begins that is at most width wide; gives up beyond 255."""
+    out, at = [], 0
+    while at < len(values) and len(out) <= 255:
+        out.append(at)
+        at = int(np.searchsorted(values, values[at] + width, "right"))
+    return out
+
+
 def held_out(doc: int | None) -> bool:
     return zlib.crc32(b"" if doc is None else str(doc).encode()) % FOLDS == HELD
 

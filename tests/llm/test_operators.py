@@ -134,6 +134,28 @@ def test_language_model_equals_counting(docs, rows):
     assert better[0] > better[1]
 
 
+def test_codes_beyond_255_counts(spark, monkeypatch):
+    counts = np.concatenate((np.repeat(np.arange(1, 31), 4000 // np.arange(1, 31)), np.arange(31, 600), [9868]))
+    x = np.log10(counts - lm.DISCOUNT)
+    book, codes = lm.quantise(x)
+    assert len(book) == 256 and len(np.unique(codes)) > 200 and codes.min() == 1
+    assert np.abs(book[codes] - x).max() < 0.01 and np.abs(book[codes] - x)[counts <= 30].max() < 1e-12
+    assert (10.0 ** book[codes]).sum() == pytest.approx((10.0**x).sum(), rel=0.01)
+    monkeypatch.setattr(lm, "LEAST_SHARDS", 1)
+    docs = [(i, f"a{i} b{i} " * i) for i in range(1, 420)]
+    train = [(i, t) for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    n, d = sum(2 * i + 1 for i, _ in train), lm.DISCOUNT
+    ends, single = len(train), (len(train) - d) / n
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, _ in train:
+        one = (i - d) / n
+        start = math.log10((1 - d + d * len(train) * one) / ends)
+        ab = math.log10((i - d + d * one) / i)
+        ba = math.log10((i - 1 - d + d * 2 * one) / i) if i > 1 else 0
+        end = math.log10((1 - d + d * (2 if i > 1 else 1) * single) / i)
+        assert abs(got[i].score - (start + i * ab + (i - 1) * ba + end)) < 0.01 * got[i].n_tokens
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 1 << 62), (5000, 1 << 40), (300, 90)):
