@@ -377,5 +377,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     answers = materialize(questions(table, shards, hot).groupBy("shard").applyInArrow(answer(total), ANSWERS))
     seen = answers.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0] + (1 if train_docs else 0)
     out = table.groupBy("block").cogroup(answers.select("shard", "block", "codes", "heads", "codebook").groupBy("block")).applyInArrow(scored(total, train_docs, shards, hot), SCORES)
-    size = float(np.log10(float(total + 1)) + np.log10(float(seen + 1)))
+    size = float(np.log10(float(total + seen + 1)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_raw") - F.col("n_tokens") * F.lit(size)).alias("base_score"), "score")

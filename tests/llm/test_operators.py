@@ -156,6 +156,21 @@ def test_codes_beyond_255_counts(spark, monkeypatch):
         assert abs(got[i].score - (start + i * ab + (i - 1) * ba + end)) < 0.01 * got[i].n_tokens
 
 
+def test_base_score_is_add_one(docs, rows):
+    texts = [(i, [*(t or "").encode().lower().split(), b""]) for i, t, *_ in rows]
+    c = collections.Counter()
+    for i, ws in texts:
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
+            c.update(ws)
+    n, v = sum(c.values()), len(c)
+    assert sum(k + 1 for k in c.values()) + 1 == n + v + 1  # with one unseen word the base's probabilities sum to 1
+    length = {(i, len(ws)): sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) for i, ws in texts}
+    got = lm.score_documents(docs).collect()
+    assert all(r.base_score == pytest.approx(length[r.doc_id, r.n_tokens], rel=1e-9) for r in got)
+    held = [r for r in got if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 1 << 62), (5000, 1 << 40), (300, 90)):
