@@ -3,8 +3,9 @@
 Equal vectors collapse to one representative. A neighbour graph starts from random hyperplane buckets and is refined by
 rounds of neighbours-of-neighbours joins: at each pivot all its neighbours, forward and reverse, meet, and what beats a
 vector's worst neighbour joins its list. Edges at or over the threshold link components. A bounded sample of vectors is
-held against all others by brute force after each round; while the share of their links found is below `recall`, another
-round runs with longer lists. Lists that may be saturated by links are then enlarged to the whole component: its vectors
+held against all others by brute force after each round; while a lower bound on the mean share that a linked vector has of
+its own links is below `recall`, another round runs with longer lists. Where `rounds` rounds do not meet it, all vectors
+are compared in pairs of blocks, which loses nothing and is quadratic. Lists that may be saturated by links are then enlarged to the whole component: its vectors
 meet in pairs of blocks of bounded size, which counts every link inside it in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do those of different length.
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, materialize, rows_of
+from .common import block_pairs, connected_components, materialize, rows_of, slices
+from .neardup import spanning
 
 TREES, LEAF, NEIGHBOURS, ROUNDS = 6, 512, 8, 5
 BLOCK, BIN = 1024, 8192
-AUDIT, RECALL = 256, 0.995
+AUDIT, MOST, RECALL, Z = 4096, 16384, 0.995, 1.645
+MISS = 0.003  # share of pairs at the threshold that may meet in no tree
+EXACT_BLOCK, STEP = 4096, 256
 STATE = "id long, dim long, vec binary, ids array<long>, sims array<double>"
 
 
@@ -123,28 +127,35 @@ def worst(k: int):
     return F.when(F.size("ids") >= k, F.array_min("sims")).otherwise(F.lit(-2.0))
 
 
-def first_graph(reps: DataFrame, k: int) -> DataFrame:
-    """Neighbour lists from the buckets of TREES sets of random hyperplanes."""
+def trees_for(bits: int, threshold: float) -> int:
+    """Sets of hyperplanes after which a pair at the threshold has shared no cell in a share MISS of cases."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return max(TREES, int(np.ceil(np.log(MISS) / np.log1p(-together)))) if 0 < together < 1 else TREES
+
+
+def first_graph(reps: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Neighbour lists from the buckets of sets of random hyperplanes, more of them the deeper they are."""
     state = reps.select("id", "dim", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("sims"))
     n = reps.count()
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
+    trees = trees_for(bits, threshold)
 
     def cells(batch: pa.RecordBatch) -> pa.RecordBatch:
         dims = batch.column(1).to_numpy()
-        key = np.zeros((batch.num_rows, TREES), np.int64)
+        key = np.zeros((batch.num_rows, trees), np.int64)
         vecs = batch.column(2).to_pylist()
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
-            planes = np.random.default_rng(int(dim)).standard_normal((int(dim), TREES * max(bits, 1)))
-            side = (matrix([vecs[i] for i in at]) @ planes > 0).reshape(len(at), TREES, -1)[:, :, :bits]
-            key[at] = (side * (1 << np.arange(bits))).sum(axis=2) + (np.arange(TREES) << 32) + (int(dim) << 40)
-        t = pa.array(np.repeat(np.arange(batch.num_rows), TREES))
+            planes = np.random.default_rng(int(dim)).standard_normal((int(dim), trees * max(bits, 1)))
+            side = (matrix([vecs[i] for i in at]) @ planes > 0).reshape(len(at), trees, -1)[:, :, :bits]
+            key[at] = (side * (1 << np.arange(bits))).sum(axis=2) + (np.arange(trees) << 32) + (int(dim) << 40)
+        t = pa.array(np.repeat(np.arange(batch.num_rows), trees))
         return pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(t), batch.column(2).take(t)], ["key", "id", "vec"])
 
     rows = reps.select("id", "dim", "vec").mapInArrow(rows_of(cells), "key long, id long, vec binary").withColumn("worst", F.lit(-2.0))
     size = rows.groupBy("key").agg(F.count("*").alias("size"))
-    # a cell over a block's size is dealt to blocks that stay apart: the rounds that follow join what they share
-    rows = rows.join(size, "key").withColumn("lo", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))).withColumns({"hi": F.col("lo"), "own": F.col("lo")}).drop("size")
+    # a cell over a block's size is dealt to blocks that stay apart, others in each tree: the rounds that follow join what they share
+    rows = rows.join(size, "key").withColumn("lo", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / BLOCK))).withColumns({"hi": F.col("lo"), "own": F.col("lo")}).drop("size")
     return merged(state, binned(rows, meet(k), "id long, ids array<long>, sims array<double>"), k)
 
 
@@ -157,27 +168,74 @@ def descend(state: DataFrame, k: int) -> DataFrame:
     return merged(state, binned(block_pairs(rows, "key", "id", "size", BLOCK), meet(k), "id long, ids array<long>, sims array<double>"), k)
 
 
-def audit(placed: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """Of the links that a bounded sample of vectors has with all others, the share whose ends are in one component."""
+def lower_bound(shares: np.ndarray) -> float:
+    """Wilson's one-sided bound on the mean of shares in [0, 1] (no such variable varies more than a binomial one)."""
+    m = len(shares)
+    if not m:
+        return 0.0
+    p, z = float(shares.mean()), Z * Z / m
+    return (p + z / 2 - Z * np.sqrt(p * (1 - p) / m + z / (4 * m))) / (1 + z)
+
+
+def audit(placed: DataFrame, threshold: float, recall: float = RECALL, size: int = AUDIT, most: int = MOST) -> tuple[float, float]:
+    """The mean share of its own links that a sampled vector with links has in its component, and a lower bound on it.
+
+    The sample grows to `most` where it holds too few linked vectors for the bound to reach `recall` at all.
+    """
+    n = placed.count()
+    shares = link_shares(placed, threshold, size)
+    while lower_bound(np.ones(len(shares))) < recall and size < min(n, most):
+        size = min(4 * size, most)
+        shares = link_shares(placed, threshold, size)
+    mean = float(shares.mean()) if len(shares) else 1.0
+    return mean, mean if size >= n else lower_bound(shares)
+
+
+def link_shares(placed: DataFrame, threshold: float, size: int) -> np.ndarray:
+    """Of each of `size` vectors that has links, by brute force: the share of them whose ends are in one component."""
     sample = placed.orderBy(F.xxhash64("id"), "id").limit(size).select("id", "dim", "vec", "component").collect()
-    if not sample:
-        return 1.0
     by_dim = {d: ([r for r in sample if r["dim"] == d]) for d in {r["dim"] for r in sample}}
     tables = {d: (np.array([r["id"] for r in rs]), np.array([r["component"] for r in rs]), matrix([bytes(r["vec"]) for r in rs])) for d, rs in by_dim.items()}
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total = found = 0
-        dims, ids, comps, vecs = batch.column(1).to_numpy(), batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(2).to_pylist()
-        for d, (q, qc, qv) in tables.items():
-            at = np.flatnonzero(dims == d)
-            if len(at):
-                link = (qv @ matrix([vecs[i] for i in at]).T >= threshold) & (q[:, None] != ids[at][None])
-                total += int(link.sum())
-                found += int((link & (qc[:, None] == comps[at][None])).sum())
-        return pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([found], pa.int64())], ["total", "found"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, found = ({d: np.zeros(len(q), np.int64) for d, (q, _, _) in tables.items()} for _ in range(2))
+        for batch in slices(batches):
+            dims, ids, comps, vecs = batch.column(1).to_numpy(), batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(2).to_pylist()
+            for d, (q, qc, qv) in tables.items():
+                at = np.flatnonzero(dims == d)
+                if len(at):
+                    link = (qv @ matrix([vecs[i] for i in at]).T >= threshold) & (q[:, None] != ids[at][None])
+                    total[d] += link.sum(axis=1)
+                    found[d] += (link & (qc[:, None] == comps[at][None])).sum(axis=1)
+        for d, (q, _, _) in tables.items():
+            at = np.flatnonzero(total[d])
+            yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(total[d][at]), pa.array(found[d][at])], ["id", "total", "found"])
+
+    sums = placed.select("id", "dim", "vec", "component").mapInArrow(run, "id long, total long, found long").groupBy("id").agg(F.sum("total"), F.sum("found")).collect()  # at most `size`
+    return np.array([r[2] / r[1] for r in sums])
+
+
+def exact_edges(reps: DataFrame, threshold: float) -> DataFrame:
+    """Edges (u, v) that span every component: all vectors of a length meet in pairs of blocks."""
+    sizes = reps.groupBy("dim").agg(F.count("*").alias("size"))
+    rows = reps.join(F.broadcast(sizes), "dim").select(F.col("dim").alias("key"), "id", "vec", "size")
 
-    r = placed.select("id", "dim", "vec", "component").mapInArrow(rows_of(one), "total long, found long").agg(F.sum("total"), F.sum("found")).first()
-    return r[1] / r[0] if r[0] else 1.0
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for g in groups(part, ["key", "lo", "hi"]):
+            own, ids, v = g["own"].to_numpy(), g["id"].to_numpy(), matrix(g["vec"].tolist())
+            a, b = np.flatnonzero(own == g["lo"].iloc[0]), np.flatnonzero(own == g["hi"].iloc[0])
+            edges = np.empty((0, 2), np.int64)
+            for at in range(0, len(a), STEP):
+                i, j = np.nonzero(v[a[at : at + STEP]] @ v[b].T >= threshold)
+                pairs = np.stack((ids[a[at + i]], ids[b[j]]), axis=1)
+                pairs = np.concatenate((edges, pairs[pairs[:, 0] != pairs[:, 1]]))
+                edges = pairs[spanning(pairs)]
+            out.append(edges)
+        edges = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"u": edges[:, 0], "v": edges[:, 1]})
+
+    return binned(block_pairs(rows, "key", "id", "size", EXACT_BLOCK), run, "u long, v long")
 
 
 def count_links(threshold: float):
@@ -205,16 +263,21 @@ def embedding_near_duplicates(df: DataFrame, threshold: float = 0.9, k: int = NE
     """vec_id, embedding -> vec_id, n_links, component_id, kept, and the audited recall."""
     units = materialize(unit_vectors(df))
     reps = materialize(units.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("dim").alias("dim")))
-    state = first_graph(reps, k)
-    for turn in range(1, rounds + 1):
-        state = descend(state, k)
-        edges = state.select(F.col("id").alias("u"), F.explode(F.arrays_zip("ids", "sims")).alias("x")).where(F.col("x.sims") >= threshold).select("u", F.col("x.ids").alias("v"))
+
+    def place(edges: DataFrame) -> DataFrame:
         components = connected_components(edges).withColumnRenamed("id", "_id")
-        placed = materialize(reps.join(components, reps["id"] == components["_id"], "left").select("id", "dim", "vec", "weight", F.coalesce("component", "id").alias("component"), F.col("_id").isNotNull().alias("linked")))
-        share = audit(placed, threshold)
-        if share >= recall or turn == rounds:
+        return materialize(reps.join(components, reps["id"] == components["_id"], "left").select("id", "dim", "vec", "weight", F.coalesce("component", "id").alias("component"), F.col("_id").isNotNull().alias("linked")))
+
+    state = first_graph(reps, k, threshold)
+    for _ in range(rounds):
+        state = descend(state, k)
+        placed = place(state.select(F.col("id").alias("u"), F.explode(F.arrays_zip("ids", "sims")).alias("x")).where(F.col("x.sims") >= threshold).select("u", F.col("x.ids").alias("v")))
+        share, least = audit(placed, threshold, recall)
+        if least >= recall:
             break
         k *= 2
+    else:
+        placed, share = place(exact_edges(reps, threshold)), 1.0
     rows = placed.where("linked").withColumnRenamed("component", "key")
     rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key").select("key", "id", "vec", "weight", "size")
     counted = binned(block_pairs(rows, "key", "id", "size", BLOCK), count_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
