@@ -2,7 +2,9 @@
 
 A page becomes a tree; each paragraph-like block gives points for its length and its commas to its ancestors (whole to
 the parent, half to the next, a third to the one after), and a node's points are discounted by its link density. The
-best container and those of its siblings that score like it are kept; menus, headers, footers, asides, notices,
+best container and those of its siblings that score like it are kept, with the headings and paragraphs beside them. Where the
+best container lies in an article or main element, the outermost such element is taken, and all articles or sections
+beside it (of one parent) alike; menus, headers, footers, asides, notices,
 adverts, forms, scripts, styles and reader comments are not part of any block.
 
 Text: character references decoded, white space inside a block made one space, trimmed, blocks in page order joined by
@@ -26,9 +28,10 @@ SPACE = re.compile(r"[\s ]+")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
-SKIP = RAW | frozenset("head nav header footer aside form button select option input label fieldset menu dialog figcaption video audio canvas map".split())
-BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object".split())
+SKIP = RAW | frozenset("head nav header footer aside form button select option input label fieldset menu dialog video audio canvas map".split())
+BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol dl table figure".split())
 ENDS_P = BLOCK | frozenset("nav header footer aside form menu".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 AWAY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|alerts?|popups?|modals?|newsletter|subscribe|sidebars?|side|widgets?|menus?|nav\w*|breadcrumbs?|header|masthead|footer|foot|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|login|search|pagination|pager|toolbar|skip)(?:$|[\s_\d-])", re.I)
@@ -177,15 +180,23 @@ def main_text(page: str | None) -> str:
     for n in whole:
         n.score *= 1 - min(1.0, linked_length(n) / max(n.length, 1))
     best = max(whole, key=lambda n: n.score)
-    article = best
-    while article is not None and article.tag not in ("article", "main"):
-        article = article.parent
+    article, node = None, best
+    while node is not None:
+        if node.tag in ("article", "main"):
+            article = node
+        node = node.parent
     best = article or best
     kept = {id(best)}
-    if best.parent is not None and article is None:
-        near = max(10.0, 0.2 * best.score)
-        for n in best.parent.children:
-            if not isinstance(n, str) and not n.away and (n.score >= near or n.tag == "p" and n.length >= 80 and linked_length(n) < 0.25 * n.length):
+    if best.parent is not None:
+        beside = [n for n in best.parent.children if not isinstance(n, str) and not n.away]
+        chosen = [n is best or (n.tag == best.tag if article else n.tag in ("article", "section") or n.score >= 0.2 * best.score > 0) for n in beside]
+        first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
+        while first > 0 and beside[first - 1].tag in BESIDE and article is None:  # what leads up to the first of them
+            first -= 1
+        while last + 1 < len(beside) and beside[last + 1].tag in BESIDE and article is None:
+            last += 1
+        for i, n in enumerate(beside):
+            if chosen[i] or first <= i <= last and n.tag in BESIDE and linked_length(n) < 0.5 * max(n.length, 1):
                 kept.add(id(n))
     out = []
     for block, text in found:

@@ -316,6 +316,20 @@ def test_html():
     assert html.main_text(None) == "" and html.main_text("<p>cut &am") == "cut &am" and html.main_text("<!-- only") == ""
 
 
+def test_html_keeps_the_whole_article():
+    long = "A long paragraph, with commas, and many words in it, so that it scores. " * 4
+    cases = {
+        f"<body><h1>Title</h1><p>Short lead.</p><div><p>{long}</p></div><h2>More</h2><p>Short.</p><div><p>{long}</p></div></body>": ["Title", "Short lead.", long, "More", "Short.", long],
+        f"<body><section><h2>One</h2><p>Small.</p></section><section><p>{long}</p></section></body>": ["One", "Small.", long],
+        f"<body><nav>menu</nav><article><p>{long}</p></article><article><p>Brief.</p></article></body>": [long, "Brief."],
+        f"<body><main><article><p>{long}</p></article><article><p>Brief.</p></article></main><aside>x</aside></body>": [long, "Brief."],
+        f"<article><p>{long}</p><figure><img src=x><figcaption>A caption</figcaption></figure><p>So <math><mi>x</mi></math> holds.</p></article>": [long, "A caption", "So x holds."],
+        f"<body><p><a href='/'>all links</a></p><div><p>{long}</p></div><footer>f</footer></body>": [long],
+    }
+    for page, want in cases.items():
+        assert html.main_text(page) == "\n".join(x.strip() for x in want)
+
+
 def test_quality(spark):
     rng = random.Random(3)
     text = lambda: " ".join("".join(rng.choice(["ba", "ko", "ti", "re", "san"]) for _ in range(rng.randint(1, 3))) for _ in range(80)) + "."
