@@ -6,25 +6,31 @@ in shards, and that bounded table is what scoring joins against (a dense lookup
 all documents' grams). A document's perplexity is per character; it is accepted where it lies between two
 quantiles of the trusted documents of its language and length class, widened by `slack`.
 
-Trusted documents: labelled quality 1 and not toxic, at most `max_trusted` by hash of doc_id. A language with fewer than
-`least` trusted documents, or null, uses the model and quantiles of all languages. A null or empty text has no tokens
+Trusted documents: labelled quality 1 and not toxic. Models are trained on about `max_trusted` a language at most, by hash of
+doc_id; the quantiles are those of all trusted documents, each scored by a model that was trained without its fold. A
+null language uses the model and quantiles of all languages, as does the score of a language with fewer than `least`
+trusted documents, which is accepted whatever its score: other languages' limits say nothing of it. A null or empty text has no tokens
 and is rejected; with no trusted documents at all every other document is accepted. Repeated rows are judged each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import binary_values, slices
+from .common import binary_values, materialize, slices
 
 ORDER, C = 4, 40
-MAX_TRUSTED, LEAST = 20_000, 30
+MAX_TRUSTED, LEAST, FOLDS = 20_000, 30, 2
+ACCURACY = 100_000  # of the quantiles, as ranks
 LOW, HIGH, SLACK = 0.002, 0.99, 0.02
 LENGTHS = (16, 64, 256, 1024)
 ALL = ""
@@ -80,10 +86,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, lang: int) -> Iterator[
             at = end
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """doc_ids of trusted documents: at most `most`, chosen by hash; small enough to broadcast by that bound."""
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.select(F.col("doc_id").cast("long").alias("_trusted")).distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
+def trusted_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
+    """lang, text, fold and sampled (about `most` a language at most, by hash) of every trusted document."""
+    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_trusted")).distinct()
+    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    found = materialize(text.join(good, F.col("_id") == F.col("_trusted"), "left_semi"))
+    sizes = found.groupBy("lang").agg(F.count("*").alias("_n")).withColumnRenamed("lang", "_l")
+    share = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return found.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("_l"))).select("lang", "text", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"), (share * F.col("_n") < most).alias("sampled"))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -124,25 +134,41 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log(lower).astype(np.float32).reshape(-1)
 
 
-def train(docs: DataFrame, trusted: DataFrame, least: int = LEAST) -> dict[str, np.ndarray]:
-    """language -> dense model; ALL for the rest. Bounded by the alphabet, not by the corpus."""
-    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left_semi")
-    table = count_grams(text).toPandas()
-    counts: dict[str, np.ndarray] = {ALL: np.zeros(C**ORDER)}
-    for lang, part in table.groupby("lang"):
-        dense = np.zeros(C**ORDER)
-        dense[part["gram"].to_numpy()] = part["n"].to_numpy()
-        counts[ALL] += dense
-        # the number of documents is that of grams which begin one
-        if lang != ALL and dense[:C].sum() >= least:
-            counts[lang] = dense
-    return {lang: kneser_ney(c) for lang, c in counts.items()}
+def train(trusted: DataFrame, least: int = LEAST) -> list[Callable[[], dict[str, np.ndarray]]]:
+    """Makers of language -> dense model, ALL for the rest: of the whole sample, then without each fold. Bounded by the alphabet."""
+    counts: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
+    for fold in range(FOLDS):
+        table = count_grams(trusted.where(F.col("sampled") & (F.col("fold") == fold))).toPandas()
+        counts.append({})
+        for lang, part in table.groupby("lang"):
+            counts[-1][lang] = part["gram"].to_numpy(), part["n"].to_numpy()
 
+    def summed(folds: list[int]) -> dict[str, np.ndarray]:
+        out = {ALL: np.zeros(C**ORDER)}
+        for f in folds:
+            for lang, (gram, n) in counts[f].items():
+                for name in {ALL, lang}:
+                    out.setdefault(name, np.zeros(C**ORDER))[gram] += n
+        return out
 
-def score(docs: DataFrame, models: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
+    # the number of documents is that of grams which begin one
+    begun = Counter[str]()
+    for fold in counts:
+        for lang, (gram, n) in fold.items():
+            begun[lang] += int(n[gram < C].sum())
+    named = {ALL} | {lang for lang, n in begun.items() if n >= least}
+
+    def make(folds: list[int]) -> dict[str, np.ndarray]:
+        return {lang: kneser_ney(c) for lang, c in summed(folds).items() if lang in named}
+
+    every = range(FOLDS)
+    return [partial(make, [g for g in every if g != f]) for f in (None, *every)]
+
+
+def score(docs: DataFrame, models: dict[str, np.ndarray] | Broadcast, keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or those of keep) in _row, with model (the language used), n_tokens, log_prob (natural) and perplexity."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    shared = models if isinstance(models, Broadcast) else spark.sparkContext.broadcast(models)
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep or docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,30 +194,37 @@ def length_class() -> F.Column:
     return out
 
 
-def thresholds(docs: DataFrame, trusted: DataFrame, models: dict[str, np.ndarray], low: float = LOW, high: float = HIGH, slack: float = SLACK, least: int = LEAST) -> DataFrame:
-    """(model, length class) -> least and most log perplexity, from at most max_trusted documents.
+def thresholds(trusted: DataFrame, models: list[Callable[[], dict[str, np.ndarray]]], low: float = LOW, high: float = HIGH, slack: float = SLACK, least: int = LEAST) -> DataFrame:
+    """(model, length class) -> least and most log perplexity, from all trusted documents.
 
     A class with fewer than `least` trusted documents takes the quantiles of its language, and those of all where that
     has none either.
     """
-    chosen = docs.select(F.col("doc_id").cast("long").alias("_id"), "lang", "text").join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left_semi")
-    scored = score(chosen, models, ["_id"]).where("n_tokens > 0").select("model", length_class().alias("class"), F.log("perplexity").alias("x"))
-    per = scored.rollup("model", "class").agg(F.percentile("x", F.lit(low)).alias("low"), F.percentile("x", F.lit(high)).alias("high"), F.count("*").alias("n"))
+    scored = None
+    for fold, without in enumerate(models[1:]):
+        shared = trusted.sparkSession.sparkContext.broadcast(without())
+        one = score(trusted.where(F.col("fold") == fold), shared, ["fold"]).where("n_tokens > 0").select("model", length_class().alias("class"), F.log("perplexity").alias("x"))
+        one = materialize(one)
+        shared.destroy()  # one fold's models at a time take disk and memory
+        scored = one if scored is None else scored.union(one)
+    per = scored.rollup("model", "class").agg(F.percentile_approx("x", F.lit(low), F.lit(ACCURACY)).alias("low"), F.percentile_approx("x", F.lit(high), F.lit(ACCURACY)).alias("high"), F.count("*").alias("n"))
     return per.where((F.col("n") >= least) | F.col("model").isNull()).withColumns({"low": F.col("low") - slack, "high": F.col("high") + slack})
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED, keep: list[str] | None = None, **quantiles) -> DataFrame:
     """docs' columns in _row with model, n_tokens, log_prob, perplexity, low, high (of perplexity) and accepted."""
     spark: SparkSession = docs.sparkSession
-    trusted = spark.createDataFrame(trusted_ids(labels, most).collect(), "_trusted long")  # bounded by `most`
-    models = train(docs, trusted)
-    found = thresholds(docs, trusted, models, **quantiles).collect()  # bounded by languages and length classes
+    trusted = materialize(trusted_documents(docs, labels, most))
+    makers = train(trusted)
+    found = thresholds(trusted, makers, **quantiles).collect()  # bounded by languages and length classes
+    models = makers[0]()
     edges = {(r["model"], r["class"]): (r["low"], r["high"]) for r in found}
     table = [(m, c, *next((edges[k] for k in ((m, c), (m, None), (None, None)) if k in edges and edges[k][0] is not None), (None, None))) for m in models for c in range(len(LENGTHS) + 1)]
     limits = spark.createDataFrame(table, "_m string, _c int, low double, high double")
-    out = score(docs, models, keep).withColumn("_k", length_class()).join(F.broadcast(limits), (F.col("model") == F.col("_m")) & (F.col("_k") == F.col("_c")), "left").drop("_m", "_c", "_k")
+    out = score(docs, models, keep if keep is None or "lang" in keep else [*keep, "lang"]).withColumn("_k", length_class()).join(F.broadcast(limits), (F.col("model") == F.col("_m")) & (F.col("_k") == F.col("_c")), "left").drop("_m", "_c", "_k")
     x = F.log("perplexity")
-    ok = (F.col("n_tokens") > 0) & F.coalesce(x.between(F.col("low"), F.col("high")), F.lit(True))
+    unmodelled = (F.col("model") == ALL) & (F.coalesce(F.col("_row.lang").cast("string"), F.lit(ALL)) != ALL)
+    ok = (F.col("n_tokens") > 0) & (unmodelled | F.coalesce(x.between(F.col("low"), F.col("high")), F.lit(True)))
     return out.withColumns({"accepted": ok, "low": F.exp("low"), "high": F.exp("high")})
 
 

@@ -343,6 +343,21 @@ def test_quality(spark):
     assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
 
 
+def test_quality_covers_small_languages(spark):
+    rng = random.Random(8)
+    text = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(80))
+    rows = [(i, text(["ba", "ko", "ti", "re"]), "aa") for i in range(600)] + [(1000 + i, text(["zug", "wyx", "qui", "jop"]), "bb") for i in range(60)] + [(2000 + i, text(["fff", "mmm", "vvv"]), "cc") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i < 2000], "doc_id long, quality int, toxic int")
+    trusted = quality.trusted_documents(d, labels, most=100)
+    size = {(r.lang, r.sampled): r["count"] for r in trusted.groupBy("lang", "sampled").count().collect()}
+    assert size["bb", True] == 60 and 60 < size["aa", True] < 150 and size["aa", True] + size["aa", False] == 600
+    found = {(r["model"], r["class"]): r["n"] for r in quality.thresholds(trusted, quality.train(trusted)).collect()}
+    assert found["aa", None] == 600 and found["bb", None] == 60
+    got = {r.doc_id: r for r in quality.quality_table(d, labels).collect()}
+    assert all(got[2000 + i].accepted and got[2000 + i].model == "" for i in range(20)) and {r.model for r in got.values()} == {"aa", "bb", ""}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
