@@ -1,10 +1,13 @@
-"""Packing: harmonic packing of token runs into sequences of a fixed capacity.
+"""Packing: harmonic packing of documents into sequences of a fixed capacity.
 
-Lengths fall into reciprocal-capacity classes: class i holds pieces of exactly capacity / 2^i tokens and fills its bins
-with 2^i pieces. A document is cut into whole sequences and then, by the binary digits of what is left, into one piece
-of each class it needs, so that a full bin has no padding. Every worker (input partition) fills its bins alone; the at
-most 2^i - 1 pieces that a class still holds when its worker ends go into bins whose sizes are powers of two. There is
-no shuffle; a worker holds at most two capacities of open pieces.
+Lengths fall into reciprocal-capacity classes: class k holds the documents of capacity / (k + 1) < length <= capacity / k
+tokens, and each of its bins takes k whole documents. What such a bin leaves free is filled by the one kind of document
+that has to be cut anyway: documents over the capacity lie in a reservoir, from which whole sequences and the pieces for
+the gaps are cut. Documents of the last class (at most capacity / CLASSES tokens) go to the reservoir too. A full bin
+waits for the reservoir; where more than WAITING bins wait, a waiting document of the shortest lengths is cut up instead.
+Every worker (input partition) does this alone, with no shuffle; it holds at most some capacities of open documents for
+each class. What a worker still holds at its end is laid end to end and cut at the capacity, the rest into sequences of
+powers of two, which need no padding.
 
 A null or empty text is one end token. Null doc_ids stay null. Repeated rows are packed each. Sequence ids are the
 worker's number times 2^40 plus a running number: unique, and equal in reruns over the same input splits.
@@ -15,6 +18,7 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,11 +28,16 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+CLASSES, WAITING, RESERVE = 64, 32, 8
+SPECIAL = {"<|endoftext|>": 50256}  # fixed value: the vocabulary's one special token
+
+
 class Encoder(dict):
     """Byte-level BPE ids as little-endian 32-bit bytes, remembering the ids of what stands between single spaces.
 
     A single space between two other visible characters always begins a new unit of the vocabulary's splitting
-    pattern, so such units can be encoded apart; texts with other white space around a space are encoded whole.
+    pattern, so such units can be encoded apart; texts with other white space around a space are encoded whole. A special
+    token's own text stands apart from its neighbours and takes its one id.
     The ids are those of the tokenizers file of the same vocabulary (a test holds them against each other).
     """
 
@@ -50,7 +59,7 @@ class Encoder(dict):
         ids = self[unit] = array("I", self.plain(" " + unit)).tobytes()
         return ids
 
-    def ids(self, text: str) -> bytes:
+    def ordinary(self, text: str) -> bytes:
         first, *units = text.split(" ")
         if units and (not first or first[-1].isspace()):
             return array("I", self.plain(text)).tobytes()
@@ -59,6 +68,12 @@ class Encoder(dict):
         except KeyError:
             return array("I", self.plain(text)).tobytes()
 
+    def ids(self, text: str) -> bytes:
+        for token, number in SPECIAL.items():
+            if token in text:
+                return array("I", [number]).tobytes().join(map(self.ids, text.split(token)))
+        return self.ordinary(text)
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -70,47 +85,100 @@ def encoder(ranks: str) -> Encoder:
     return _ENCODERS[ranks]
 
 
+class Document:
+    """What is left of a document: its ids from `at` on."""
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) pieces of n tokens: whole capacities, then descending powers of two."""
-    out = [(at, capacity) for at in range(0, n - n % capacity, capacity)]
-    at, rest, size = n - n % capacity, n % capacity, capacity // 2
-    while rest:
-        if rest >= size:
-            out.append((at, size))
-            at, rest = at + size, rest - size
-        size //= 2
-    return out
+    __slots__ = ("doc", "ids", "at", "n")
+
+    def __init__(self, doc: int | None, ids: bytes):
+        self.doc, self.ids, self.at, self.n = doc, ids, 0, len(ids) // 4
+
+    def left(self) -> int:
+        return self.n - self.at
+
+    def take(self, length: int) -> tuple:
+        start, self.at = self.at, self.at + length
+        return self.doc, start, length, zlib.crc32(memoryview(self.ids)[4 * start : 4 * self.at]), self.n
 
 
 class Worker:
-    """Open bins of one worker: pieces go in, rows of full bins come out."""
+    """Open bins of one worker: documents go in, rows of full bins come out."""
 
     def __init__(self, number: int, capacity: int):
-        self.next, self.capacity, self.open, self.rows = number << 40, capacity, {}, []
-
-    def close(self, pieces: list[tuple], size: int) -> None:
-        for i, piece in enumerate(pieces):
-            self.rows.append((*piece, self.next, i * size))
+        self.next, self.capacity, self.rows = number << 40, capacity, []
+        self.classes: dict[int, list[Document]] = {}
+        self.reservoir: deque[Document] = deque()
+        self.stored = 0
+        self.waiting: deque[list[Document]] = deque()  # bins with all their documents and a gap
+
+    def close(self, pieces: list[tuple]) -> None:
+        offset = 0
+        for piece in pieces:
+            self.rows.append((*piece, self.next, offset))
+            offset += piece[2]
         self.next += 1
 
-    def add(self, piece: tuple) -> None:
-        size = piece[2]
-        held = self.open.setdefault(size, [])
-        held.append(piece)
-        if len(held) * size == self.capacity:
-            self.close(held, size)
-            self.open[size] = []
+    def cut(self, length: int) -> list[tuple]:
+        """Pieces of `length` tokens in all from the reservoir's front, which has as many."""
+        out = []
+        self.stored -= length
+        while length:
+            front = self.reservoir[0]
+            n = min(length, front.left())
+            out.append(front.take(n))
+            length -= n
+            if not front.left():
+                self.reservoir.popleft()
+        return out
+
+    def store(self, document: Document) -> None:
+        self.reservoir.append(document)
+        self.stored += document.left()
+
+    def add(self, doc: int | None, ids: bytes) -> None:
+        document = Document(doc, ids)
+        k = self.capacity // document.n
+        if k == 0 or k >= CLASSES:
+            self.store(document)
+        else:
+            held = self.classes.setdefault(k, [])
+            held.append(document)
+            if len(held) == k:
+                self.classes[k] = []
+                self.waiting.append(held)
+        self.settle()
+
+    def settle(self) -> None:
+        while self.waiting:
+            gap = self.capacity - sum(d.n for d in self.waiting[0])
+            while self.stored < gap and len(self.waiting) > WAITING and any(self.classes.values()):
+                self.store(self.classes[max(k for k, held in self.classes.items() if held)].pop())
+            if self.stored < gap:
+                break
+            self.close([d.take(d.n) for d in self.waiting.popleft()] + self.cut(gap))
+        while self.stored > RESERVE * self.capacity:
+            self.close(self.cut(self.capacity))
 
     def finish(self) -> None:
-        for size, held in self.open.items():
-            many = 1 << len(held).bit_length()
-            while held:
-                many >>= 1
-                if len(held) >= many:
-                    self.close(held[:many], size)
-                    held = held[many:]
-        self.open = {}
+        for bin_ in self.waiting:  # their gaps are filled from the classes' last documents, as far as these go
+            gap = self.capacity - sum(d.n for d in bin_)
+            for k in sorted(self.classes, reverse=True):
+                while self.stored < gap and self.classes[k]:
+                    self.store(self.classes[k].pop())
+            if self.stored >= gap:
+                self.close([d.take(d.n) for d in bin_] + self.cut(gap))
+            else:  # nothing is left to fill it: its documents are laid end to end with the rest
+                for document in bin_:
+                    self.store(document)
+        for held in self.classes.values():
+            for document in held:
+                self.store(document)
+        self.classes, self.waiting = {}, deque()
+        while self.stored >= self.capacity:
+            self.close(self.cut(self.capacity))
+        for i in reversed(range(self.capacity.bit_length())):
+            if self.stored >> i & 1:
+                self.close(self.cut(1 << i))
 
     def batch(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
@@ -129,10 +197,7 @@ def harmonic_pack(docs: DataFrame, ranks: str, capacity: int = 1024, end: int =
         worker = Worker(TaskContext.get().partitionId(), capacity)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + tail
-                n = len(ids) // 4
-                for start, length in cut(n, capacity):
-                    worker.add((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
+                worker.add(doc, encode(text.as_py() or "") + tail)
                 if len(worker.rows) > 20_000:
                     yield worker.batch()
         worker.finish()
