@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_row_struct
 
 WEIGHTS, SHARE, MOST, GROUP, LANDING = (5.0, 2.0, 1.0), 1.5, 2.0, 1024, 10
 TINY = 1e-9
@@ -94,15 +94,20 @@ def _fly(last: bool):
     return run
 
 
-def row_key():
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+def row_key(*columns: str):
+    """A 128-bit name (MD5) of a row's values: each is marked null or led by its length, so that no two rows read alike."""
+    parts = []
+    for c in columns or ("doc_id", "source", "text"):
+        value = F.col(c).cast("string")
+        parts += [F.coalesce(F.octet_length(value).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(value, F.lit(""))]
+    return F.md5(F.concat(*parts))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs, each as often as the mix takes it; equal rows share what was taken of them."""
     taken = cube_mix(docs, **options).groupBy("_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_key", row_key()).dropDuplicates(["_key"]).join(taken, "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[f"`{c}`" for c in docs.columns])
+    rows = with_row_struct(docs, row_key().alias("_key")).groupBy("_key").agg(F.first("_row").alias("_row")).join(taken, "_key")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def cube_mix(docs: DataFrame, group: int = GROUP, **shares) -> DataFrame:
@@ -119,7 +124,7 @@ def cube_mix(docs: DataFrame, group: int = GROUP, **shares) -> DataFrame:
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_r", ratio).withColumn("whole", F.floor(F.col("_r") + TINY)).withColumn("p", F.greatest(F.lit(0.0), F.col("_r") - F.col("whole")))
     rows = rows.withColumn("p", F.when(F.col("p") < TINY, 0.0).otherwise(F.col("p"))).withColumn("_h", F.xxhash64("_key", "size")).withColumn("_b", F.pmod(F.shiftright("_h", 16), F.ceil(F.col("_n") / group)))
     columns = ["_key", "doc_id", "source", "size", "source_size", "target", "whole", "p", "_h", "_n", "_b"]
-    schema = "_key long, doc_id long, source string, size long, source_size long, target double, whole long, p double, _h long, _n long, _b long"
+    schema = "_key string, doc_id long, source string, size long, source_size long, target double, whole long, p double, _h long, _n long, _b long"
     open_ = F.col("p").between(F.lit(TINY), F.lit(1 - TINY))
     state, decided = rows.select(*columns), []
     most = plan.agg(F.max("_n")).first()[0] or 0
