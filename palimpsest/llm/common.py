@@ -138,11 +138,29 @@ def block_pairs(rows: DataFrame, key: str, item: str, size: str, block: int) ->
     return dealt.withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_other", size)
 
 
+HEAVY = 512
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows joined with table, which has one row per key with the number of the key's rows in `n` (dropped).
+
+    A key with more than a HEAVY-th of all rows would land in one task; there are fewer than HEAVY such keys, so their
+    table rows are broadcast and their rows stay where they are. All other keys meet by a shuffle.
+    """
+    table = materialize(table)
+    total = table.agg(F.sum(n)).first()[0] or 0
+    heavy = table.where(F.col(n) * HEAVY > total).drop(n)
+    if total < 1 << 16 or heavy.isEmpty():
+        return rows.join(table.drop(n), keys)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(table.where(F.col(n) * HEAVY <= total).drop(n), keys)
+    return light.unionByName(rows.join(F.broadcast(heavy), keys))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long edges -> (id, component): the smallest id that each linked id can reach.
 
     Alternates large-star and small-star steps; each halves the depth of trees, and each round is written to the
-    shared folder. A step groups by key with map-side combining and joins back, so that a hub is split by AQE.
+    shared folder. A step groups by key with map-side combining and joins back by spread_join, so that a hub is no task's alone.
     """
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
@@ -152,10 +170,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = e.union(e.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n"))
+        large = materialize(spread_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
         e = materialize(small)
         after = state(e)
         if after == before:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary_values, materialize, mix, rows_of, words
+from .common import WordHash, binary_values, materialize, mix, rows_of, spread_join, words
 
 WINDOW, NODE = 50, 20
 BROADCAST_IDS = 1_000_000  # 8 MB; beyond it keys are joined by a shuffle
@@ -59,9 +59,9 @@ def anchors(r: Ranges, n: int, window: int, node: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """_key tells rows apart by doc_id and text, so that a repeated doc_id with another text is another document."""
+    """doc_id and _key, a hash of the text, name a document: a repeated doc_id with another text is another document."""
     text = F.col("text").cast("string")
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.xxhash64(text).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 def occurrences(docs: DataFrame, window: int, node: int) -> DataFrame:
@@ -98,15 +98,15 @@ def repeated_nodes(found: DataFrame) -> DataFrame:
     """Nodes that several documents hold: the first of them, and whether all occurrences have one way out, one way in."""
     g = found.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"), F.count("*").alias("_n"), *[f(w).alias(f"{n}_{w}") for w in ("way_out", "way_in") for n, f in (("min", F.min), ("max", F.max), ("n", F.count))])
     one = lambda w: (F.col(f"min_{w}") == F.col(f"max_{w}")) & (F.col(f"n_{w}") == F.col("_n"))
-    return g.where("first < _last").select("node", "first", F.coalesce(one("way_out"), F.lit(False)).alias("one_out"), F.coalesce(one("way_in"), F.lit(False)).alias("one_in"))
+    return g.where("first < _last").select("node", F.col("_n").alias("n"), "first", F.coalesce(one("way_out"), F.lit(False)).alias("one_out"), F.coalesce(one("way_in"), F.lit(False)).alias("one_in"))
 
 
 def chosen(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """docs that have a row in lists (by _key), with it; the others are sifted out before any text moves."""
-    ids = lists.select("_key")
+    """docs that have a row in lists (by doc_id and _key), with it; the others are sifted out before any text moves."""
+    ids = lists.select("doc_id", "_key")
     if lists.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "_key", "left_semi").join(lists, "_key")
+    return docs.join(ids, ["doc_id", "_key"], "left_semi").join(lists, ["doc_id", "_key"])
 
 
 def compare_windows(texts: DataFrame, window: int, node: int) -> DataFrame:
@@ -169,7 +169,7 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def cut_words(texts: DataFrame, window: int) -> DataFrame:
-    """texts with lists of (start, end) windows -> _key, n_removed, kept (text of the words that stay)."""
+    """texts with lists of (start, end) windows -> doc_id, _key, n_removed, kept (text of the words that stay)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,29 +184,29 @@ def cut_words(texts: DataFrame, window: int) -> DataFrame:
                     stay = np.cumsum(edge[:-1]) == 0
                     removed.append(int(len(ws) - stay.sum()))
                     kept.append(b" ".join(w for w, k in zip(ws, stay.tolist(), strict=True) if k))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["_key", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "_key", "n_removed", "kept"])
 
-    return texts.mapInArrow(run, "_key long, n_removed long, kept string")
+    return texts.mapInArrow(run, "doc_id long, _key long, n_removed long, kept string")
 
 
 def removals(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
-    """keyed docs -> _key with windows (list of start, end) whose words are removed."""
-    found = occurrences(docs, window, node)
+    """keyed docs -> doc_id, _key with windows (list of start, end) whose words are removed."""
+    found = materialize(occurrences(docs, window, node))
     nodes = repeated_nodes(found)
-    listed = found.select("_key", "pos", "node").join(nodes, "node").groupBy("_key").agg(F.collect_list(F.struct("pos", "first", "one_out", "one_in")).alias("nodes"))
+    listed = spread_join(found.select("doc_id", "_key", "pos", "node"), nodes, ["node"]).groupBy("doc_id", "_key").agg(F.collect_list(F.struct("pos", "first", "one_out", "one_in")).alias("nodes"))
     listed = materialize(listed)
     texts = chosen(docs, listed).select("_key", "doc_id", "text", "nodes")
     rows = materialize(compare_windows(texts, window, node))
     flanks = rows.where("a is not null")
-    first = flanks.groupBy("a", "b").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
-    hits = flanks.join(first, ["a", "b"]).where("_first < doc_id").select("_key", "start", "end").union(rows.where("a is null").select("_key", "start", "end"))
-    return materialize(hits.groupBy("_key").agg(F.collect_list(F.struct("start", "end")).alias("windows")))
+    first = flanks.groupBy("a", "b").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count("*").alias("n")).where("_first < _last").drop("_last")
+    hits = spread_join(flanks, first, ["a", "b"]).where("_first < doc_id").select("doc_id", "_key", "start", "end").union(rows.where("a is null").select("doc_id", "_key", "start", "end"))
+    return materialize(hits.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("start", "end")).alias("windows")))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
     """doc_id, text -> doc_id, n_words, n_removed, kept_sha256."""
     docs = keyed(docs)
     windows = removals(docs, window, node)
-    texts = chosen(docs, windows).select("_key", "doc_id", "text", "windows")
-    cut = cut_words(texts, window).select("_key", "n_removed", F.sha2("kept", 256).alias("_kept")).dropDuplicates(["_key"])
-    return plain(docs).join(cut, "_key", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("_kept", "_whole").alias("kept_sha256"))
+    texts = chosen(docs, windows).select("doc_id", "_key", "text", "windows")
+    cut = cut_words(texts, window).select("doc_id", "_key", "n_removed", F.sha2("kept", 256).alias("_kept")).dropDuplicates(["doc_id", "_key"])
+    return plain(docs).join(cut, ["doc_id", "_key"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("_kept", "_whole").alias("kept_sha256"))
