@@ -72,19 +72,25 @@ def store_payload(payload: bytes) -> bytes:
 
 
 def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(kind, body start, body end) of every box, containers before what they hold."""
-    while start + 8 <= end:
+    """(kind, body start, body end) of every box, containers before what they hold, however deep."""
+    ends = [end]
+    while ends:
+        if start + 8 > ends[-1]:
+            start = ends.pop()
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
             size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
-        size = size or end - start
-        if size < head or start + size > end:
+        size = size or ends[-1] - start
+        if size < head or start + size > ends[-1]:
             raise ValueError(f"box {kind!r} at {start} leaves its container")
         yield kind, start + head, start + size
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size)
-        start += size
+            ends.append(start + size)
+            start += head
+        else:
+            start += size
 
 
 def track_tables(data: bytes) -> list[dict[bytes, tuple[int, int]]]:

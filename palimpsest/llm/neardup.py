@@ -12,6 +12,7 @@ others over all buckets: the text that copies were made from); then only members
 that still hold several components are compared, in blocks of bounded size: signature against signature, and sets where those allow it. Only
 links between different components come out. So no link that joins components is lost.
 
+Rows that share a doc_id are one document: a link of any of its texts is its link, and its texts are linked with each other.
 Null, empty or blank texts have no shingles and link with nothing; fewer words than a shingle are one shingle. Rows with
 a null doc_id are kept and link with nothing. Repeated rows give repeated rows. An empty table gives no rows.
 """
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary_values, block_pairs, connected_components, materialize, mix, rows_of, slices, spans_hash, words
+from .common import WordHash, binary_values, block_pairs, connected_components, materialize, mix, rows_of, slices, spans_hash, with_row_struct, words
 
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 K = CHUNKS * CHUNK
@@ -238,8 +239,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = confirm(near(star, reps, percent), docs, size, percent)
     components = connected_components(links)
     more = rest_of_buckets(members, components, reps, docs, size, percent)
-    components = connected_components(components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
-    by_set = sets.join(components, sets["rep"] == components["id"], "left").select(F.col("set_id").alias("_s"), F.coalesce("component", "rep").alias("_c"))
+    edges = components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more)
+    several = signed.where("set_id is not null and doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b")).where("_a < _b").select("doc_id")
+    if not several.isEmpty():  # documents of several texts join the representatives of these
+        edges = edges.union(signed.join(several, "doc_id").join(sets.select("set_id", "rep"), "set_id").select("doc_id", "rep"))
+    components = connected_components(edges)
+    by_set = sets.join(components, F.col("rep") == F.col("id"), "left").select(F.col("set_id").alias("_s"), F.coalesce("component", "rep").alias("_c"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(by_set, F.col("set_id") == F.col("_s"), "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -250,10 +255,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     found = materialize(near_duplicates(docs, size, percent))
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    rows = with_row_struct(docs, F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    left = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("_id") == F.col("_gone"), "left_anti")
     many = again.count()
-    if not many:
-        return left
-    again = F.broadcast(again) if many <= BROADCAST_IDS else again
-    same = left["doc_id"].cast("long") == F.col("_again")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if many:
+        again = F.broadcast(again) if many <= BROADCAST_IDS else again
+        same = F.col("_id") == F.col("_again")
+        once = left.join(again, same, "left_semi").groupBy("_id", "_text").agg(F.first("_row").alias("_row"))
+        left = left.join(again, same, "left_anti").select("_row").union(once.select("_row"))
+    return left.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

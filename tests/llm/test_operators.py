@@ -40,6 +40,39 @@ def test_empty_tables(spark, empty):
     for df in (neardup.near_duplicates(empty), substrings.repeated_spans(empty), lm.score_documents(empty), mixing.cube_mix(empty), packing.harmonic_pack(empty, queries.RANKS), media.media_digest(empty), secrets.scan_secrets(empty, secrets.train(empty)), quality.quality_table(empty, labels)):
         assert df.count() == 0
     assert embeddings.embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert html.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    for df in (mixing.mixed_documents(empty), secrets.redact_secrets(empty, secrets.train(empty)), quality.accepted_documents(empty, labels), neardup.drop_near_duplicates(empty)):
+        assert df.columns == empty.columns and df.count() == 0
+
+
+CLASHES = ["_gone", "_again", "_copies", "_copy", "_key", "_id", "_row", "_text", "_t", "col", "model", "n", "Doc", "n_chars"]
+
+
+def test_stages_keep_clashing_columns(spark, rows):
+    some = [r for r in rows if r[0] is None or r[0] < 120 or r[0] > 9000]
+    wide = spark.createDataFrame([(*r, *[f"{c}{i}" for c in CLASHES[:-1]], len(r[1] or "")) for i, r in enumerate(some)], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES[:-1]) + ", n_chars int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    given = {tuple(r) for r in wide.collect()}
+    for df in (mixing.mixed_documents(wide), secrets.redact_secrets(wide, secrets.train(wide)), quality.accepted_documents(wide, labels), neardup.drop_near_duplicates(wide)):
+        assert df.schema.simpleString() == wide.schema.simpleString()
+        got = df.collect()
+        assert got and all(tuple(r) in given or "[SECRET]" in r.text for r in got)
+
+
+def test_mixing_tells_nulls_apart(spark):
+    d = spark.createDataFrame([(1, None, "x"), (1, "x", None)], "doc_id long, source string, text string")
+    assert {r._key for r in mixing.cube_mix(d).collect()}.__len__() == 2
+    got = collections.Counter((r.source, r.text) for r in mixing.mixed_documents(d).collect())
+    taken = {(r.source, r.size): r.copies for r in mixing.cube_mix(d).collect()}
+    assert got[None, "x"] == taken[None, 1] and got["x", None] == taken["x", 0]
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    d = spark.createDataFrame([(5, a), (5, b), (9, b), (4, a + " z"), (11, "alone here now")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(d, 4).collect()}
+    assert got == {(5, 4, False), (9, 4, False), (4, 4, True), (11, 11, True)}
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(d, 4).collect()) == [4, 11]
 
 
 def test_near_duplicates_equal_all_pairs(docs, rows):
@@ -126,7 +159,7 @@ def test_language_model_equals_counting(docs, rows):
             p += math.log10((max(pair[h, w] - d, 0) + d * width[h] * single) / context[h] if context[h] else single)
         r = next(r for r in got[i] if r.n_tokens == len(ws))
         assert (r.held_out, r.n_known, r.train_tokens) == (held(i), sum(c[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / ((n + 1) * (v + 1))) for w in ws), rel=1e-9)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in ws), rel=1e-9)
         assert r.score == pytest.approx(p, rel=1e-4)
         if r.held_out:
             better[0] += r.score
@@ -236,6 +269,53 @@ def test_secrets(spark):
     assert red[0].text == '[SECRET]" and [SECRET]' and red[0].n_chars == 22 and red[1].text is None
 
 
+def test_secrets_held_out():
+    rng = random.Random(12)
+    secret = [lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n)), lambda n: "".join(rng.choice(secrets.ALPHABET) for _ in range(n))]
+    parts = ["get", "user", "name", "Page", "Count", "ing", "ment", "index", "value", "Table", "ation", "over", "line", "set"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(3, 6)))
+    counts = np.zeros((2, secrets.N * secrets.N))
+    for i in range(1000):
+        counts[1] += secrets.transitions(secret[i % 2](32).encode())
+        counts[0] += secrets.transitions(" ".join(word() for _ in range(20)).encode())
+    ratio = secrets.log_ratio(counts)
+    held = [secret[i % 2](rng.randint(16, 40)) for i in range(300)]
+    ordinary = [word() for _ in range(3000)]
+    hit = lambda xs: secrets.random_looking(xs, ratio, secrets.THRESHOLD, secrets.EVIDENCE).sum()
+    assert hit(held) >= 0.98 * len(held) and hit(ordinary) <= 3
+    text = " ".join(x for pair in zip(held, ordinary) for x in pair)
+    spans = [text[a:b] for a, k, b in secrets.secret_spans(text, ratio)]
+    assert sum(any(h in x for x in spans) for h in held) >= 0.98 * len(held)
+
+
+def test_secret_spans_equal_brute_force(rows):
+    import re
+
+    ratio = np.zeros((secrets.N, secrets.N))
+    ratio[:, 20:] = 3.0
+    texts = [t for _, t, *_ in rows if t][:150] + ['token="abcdefghijklmnop" vwxyzvwxyzvwxyz0123', "0123456789abcdef0123" * 3 + " zzzzzzzzzzzzzzzzzz"]
+    for t in texts:
+        want, taken = [], set()
+        for kind, pattern, least in (("assign", r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)):
+            for m in re.finditer(pattern, t):
+                if len(m[2] if kind == "assign" else m[0]) >= least:
+                    want.append((m.start(), kind, m.end()))
+                    taken |= set(range(m.start(), m.end()))
+        for m in re.finditer(r"(?<![^\W_])[A-Za-z0-9+/_=-]{12,}(?![^\W_])", t):
+            c = [0, *(secrets.ALPHABET.find(x) + 1 for x in m[0]), 0]
+            llr = sum(ratio[a, b] for a, b in zip(c, c[1:]))
+            if not taken & set(range(m.start(), m.end())) and llr >= secrets.EVIDENCE and llr / (len(c) - 1) >= secrets.THRESHOLD:
+                want.append((m.start(), "markov", m.end()))
+        assert secrets.secret_spans(t, ratio) == sorted(want, key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+
+
+def test_redaction_keeps_counts(spark):
+    d = spark.createDataFrame([(1, None, 0), (2, "token=abcdefghijklmnop", 22), (3, "plain", 5)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact_secrets(d, np.zeros((secrets.N, secrets.N))).collect()}
+    assert got == {1: (None, 0), 2: ("[SECRET]", 8), 3: ("plain", 5)}
+    assert secrets.redact_secrets(d, np.zeros((secrets.N, secrets.N))).schema == d.schema
+
+
 def test_packing_round_trip(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -337,6 +417,11 @@ def test_media_round_trip(docs, rows):
         info = media.describe(data)
         assert info["bytes"] == info["samples"] == max(64, -(-n // 64) * 64) and all(data[k["start"] : k["end"]] in (b"x", b"\0") for k in info["keyframes"])
     assert media.describe(b"junk" * 9) is None and media.describe(None) is None and media.describe(media.store_payload(bytes(64))[:200]) is None
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    assert media.describe(deep) is None and len(list(media.walk(memoryview(deep), 0, len(deep)))) == 1500
+    assert media.describe(media.box(b"free", deep) + media.store_payload(bytes(64)))["bytes"] == 64
     got = {(r.doc_id, r.n_bytes): r for r in media.media_digest(docs).collect()}
     for i, t, *_ in rows:
         b = (t or "").encode()
@@ -365,6 +450,46 @@ def test_html_keeps_the_whole_article():
         assert html.main_text(page) == "\n".join(x.strip() for x in want)
 
 
+def test_html_generated_pages():
+    """Pages with known text and no article element: the scores alone have to find it."""
+    rng = random.Random(21)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdeo") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+    for turn in range(200):
+        blocks, inner = [], []
+        for i in range(rng.randint(3, 12)):
+            kind = rng.choice(["p", "p", "p", "h2", "ul", "blockquote", "figure", "div"])
+            text = sentence(rng.randint(30, 80)) + ", " + sentence(12) if kind == "p" or i == 0 else sentence(rng.randint(2, 8))
+            if i == 0 or kind == "p":
+                blocks.append(text)
+                inner.append(f"<p class='lead{i}'>{text.replace('.', '<b>.</b>')}")
+            elif kind == "ul":
+                items = [sentence(3) for _ in range(3)]
+                blocks += items
+                inner.append("<ul><li>" + "<li>".join(items) + "</ul>")
+            elif kind == "figure":
+                blocks.append(text)
+                inner.append(f"<figure><img alt='x>y'><figcaption>{text}</figcaption></figure>")
+            elif kind == "div":
+                blocks.append(text + " " + sentence(40))
+                inner.append(f"<div><p>{blocks[-1]}</p></div>")
+            else:
+                blocks.append(text)
+                inner.append(f"<{kind}>{text}</{kind}>")
+        links = "".join(f"<li><a href=/{i}>{sentence(3)}</a></li>" for i in range(8))
+        wrap = rng.choice(["<div>{}</div>", "<div id=page><div class=row>{}</div></div>", "<section>{}</section>", "<table><tr><td>{}</td></tr></table>"])
+        page = f"<!doctype html><html><head><title>{sentence(4)}</title></head><body><nav><ul>{links}</ul></nav><div class='sidebar'><p>{sentence(40)}</p></div><div><ul>{links}</ul></div>{wrap.format(''.join(inner))}<div class='related'><ul>{links}</ul></div><div id=comments><p>{sentence(60)}</p></div><footer>{sentence(9)}</footer></body></html>"
+        assert html.main_text(page) == "\n".join(" ".join(b.split()) for b in blocks), (turn, page)
+
+
+def test_html_edges(spark):
+    assert html.main_text("<p don't>Hello") == "Hello" and html.main_text("<p a='>' b=\">\">Hi<a href='x>y") == "Hi"
+    assert html.main_text("<article><p>Some text, here.</p><noscript>No script.</noscript><p class=side>And more of it.</p></article>") == "Some text, here.\nNo script.\nAnd more of it."
+    deep = "<div>" * 30000 + "text, deep" + "</div>" * 30000
+    assert html.main_text(deep) == "text, deep" and html.main_text("<b>" * 20000 + "x" + "</i>" * 20000) == "x"
+    got = html.extract_text(spark.createDataFrame([(1, None, "<p>a</p>", 2), (1, None, "<p>a</p>", 2), (None, "u", None, 3)], "page_id long, url string, html string, n_chars int")).collect()
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == [("1", "a", 1), ("1", "a", 1), ("None", "", 0)]
+
+
 def test_quality(spark):
     rng = random.Random(3)
     text = lambda: " ".join("".join(rng.choice(["ba", "ko", "ti", "re", "san"]) for _ in range(rng.randint(1, 3))) for _ in range(80)) + "."
