@@ -1,13 +1,14 @@
 """The corpus pipeline: quality filter, near-dedup, secret redaction, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; all but the last return the columns of
-documents. The result is one row per packed piece.
+Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor, whose result is written as Parquet to the
+shared folder and reread; all but the last return the columns of documents. The result is one row per packed piece.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.common import materialize
 from palimpsest.llm.mixing import mixed_documents
 from palimpsest.llm.neardup import drop_near_duplicates
 from palimpsest.llm.packing import harmonic_pack
@@ -42,6 +43,6 @@ ORACLE_SQL = None  # no stage is SQL-expressible; tests/llm hold the stages agai
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
