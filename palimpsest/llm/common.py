@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,42 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage in a way that survives lost executors."""
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
+def materialize(df: DataFrame, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage in a way that survives lost executors.
+
+    Tables go when the interpreter ends, or before that at the end of `temporary()`, but for those to keep.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     atexit.register(_drop, spark, path)
+    if _OPEN and not keep:
+        _OPEN[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables written inside are deleted at the end: what is to outlive them is materialized with keep."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _OPEN.pop():
+            _drop(spark, path)
+
+
+BROADCAST_IDS = 1_000_000  # 8 MB; beyond it ids are joined by a shuffle
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A table of one id column, marked for broadcast where it has been counted to be small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a whole text column; counts follow it so that a task's share stays the same at every size."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import binary_values, materialize, slices
+from .common import binary_values, materialize, slices, small, temporary
 
 ORDER, UNITS = 4, 1 << 16
 MAX_TRUSTED, LEAST, FOLDS = 5_000, 30, 2
@@ -250,10 +250,11 @@ def score(rows: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -> Da
 def trusted_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED, least: int = LEAST) -> DataFrame:
     """lang, model, text, fold and sampled (about `most` a language at most, by hash) of every trusted document."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_trusted")).distinct()
+    good = small(materialize(good))
     text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     found = materialize(text.join(good, F.col("_id") == F.col("_trusted"), "left_semi"))
     share = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sizes = found.groupBy("lang").agg(F.count("*").alias("_n")).withColumnRenamed("lang", "_l")
+    sizes = materialize(found.groupBy("lang").agg(F.count("*").alias("_n")).withColumnRenamed("lang", "_l"))  # written, so that Spark knows its size
     named = F.when(F.col("lang").isNotNull() & (F.col("_n") >= least), F.col("lang")).otherwise(F.lit(ALL))
     return found.join(sizes, F.col("lang").eqNullSafe(F.col("_l"))).select("lang", named.alias("model"), "text", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"), (share * F.col("_n") < most).alias("sampled"))
 
@@ -287,8 +288,9 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED, keep:
     least = quantiles.get("least", LEAST)
     trusted = materialize(trusted_documents(docs, labels, most, least))
     tables = model_tables(count_grams(trusted.where("sampled")))
-    limits = materialize(thresholds(trusted, tables, **quantiles))
-    named = trusted.where(F.col("model") != ALL).select(F.col("model").alias("_named")).distinct()
+    with temporary():
+        limits = materialize(thresholds(trusted, tables, **quantiles), keep=True)
+    named = materialize(trusted.where(F.col("model") != ALL).select(F.col("model").alias("_named")).distinct())
     columns = [c for c in keep or docs.columns if c != "text"]
     lang = F.col("lang").cast("string")
     row = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)], lang.alias("lang"))
