@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model trained on trusted text.
 
 Tokens are the UTF-16 units of the text (digits as one unit, white space as another), so that every script is told apart
-as finely as Latin letters; a gram of ORDER = 4 units is one 64-bit number. Counting and scoring are joins over shards:
+as finely as Latin letters; a gram of ORDER = 3 units is one 64-bit number. Counting and scoring are joins over shards:
 trusted texts give (model, gram, count) rows, which Spark sums and turns into discounted probabilities and back-off
 weights for each order; documents become blocks of some megabytes of one model, each block asks once for its distinct
 grams, a join with the count tables answers, and the block adds up the perplexity of its documents. No table of the model
@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, Lo
 
 from .common import binary_values, materialize, slices, small, temporary
 
-ORDER, UNITS = 4, 1 << 16
+ORDER, UNITS = 3, 1 << 16
 MAX_TRUSTED, LEAST, FOLDS = 5_000, 30, 2
 LOW, HIGH, SLACK, BIN = 0.002, 0.99, 0.02, 0.001
 LENGTHS = (16, 64, 256, 1024)
