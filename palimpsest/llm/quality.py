@@ -118,8 +118,9 @@ def model_tables(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = level.join(discounts, F.col("m") == F.col("_m")).select("m", "g", "n", context(k).alias("h"), cut.alias("cut"))
         contexts = rows.groupBy("m", "h").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("beta"))
-        contexts = materialize(contexts)
-        tables[k] = materialize(rows.join(contexts.select("m", "h", "total"), ["m", "h"]).select("m", "g", ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"))), contexts.select("m", "h", "beta")
+        contexts = materialize(contexts, keep=True)
+        alpha = rows.join(contexts.select("m", "h", "total"), ["m", "h"]).select("m", "g", ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"))
+        tables[k] = materialize(alpha, keep=True), contexts.select("m", "h", "beta")
         if k > 1:  # continuation counts: how many units a shorter gram follows
             level = materialize(level.groupBy("m", last(k - 1).alias("g")).agg(F.count("*").alias("n")))
     return tables
@@ -152,7 +153,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: dict[str, tuple[list[pa.Array], list[bytes | None], list[int]]] = {}
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=5).compress
 
         def flush(model: str) -> pa.RecordBatch:
             nonlocal number
@@ -252,7 +253,7 @@ def trusted_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTE
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_trusted")).distinct()
     good = small(materialize(good))
     text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    found = materialize(text.join(good, F.col("_id") == F.col("_trusted"), "left_semi"))
+    found = text.join(good, F.col("_id") == F.col("_trusted"), "left_semi")
     share = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sizes = materialize(found.groupBy("lang").agg(F.count("*").alias("_n")).withColumnRenamed("lang", "_l"))  # written, so that Spark knows its size
     named = F.when(F.col("lang").isNotNull() & (F.col("_n") >= least), F.col("lang")).otherwise(F.lit(ALL))
@@ -286,11 +287,11 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED, keep:
     """_row (the columns of keep, without text, as c0, c1 and so on), _text, model, n_tokens, log_prob, perplexity, low, high
     (of perplexity) and accepted."""
     least = quantiles.get("least", LEAST)
-    trusted = materialize(trusted_documents(docs, labels, most, least))
-    tables = model_tables(count_grams(trusted.where("sampled")))
-    with temporary():
+    with temporary():  # the trusted texts and what scores them are not needed beyond the limits
+        trusted = materialize(trusted_documents(docs, labels, most, least))
+        tables = model_tables(count_grams(trusted.where("sampled")))
         limits = materialize(thresholds(trusted, tables, **quantiles), keep=True)
-    named = materialize(trusted.where(F.col("model") != ALL).select(F.col("model").alias("_named")).distinct())
+        named = materialize(trusted.where(F.col("model") != ALL).select(F.col("model").alias("_named")).distinct(), keep=True)
     columns = [c for c in keep or docs.columns if c != "text"]
     lang = F.col("lang").cast("string")
     row = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)], lang.alias("lang"))
