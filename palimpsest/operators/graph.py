@@ -9,29 +9,42 @@ from palimpsest.functions.durable import durable
 
 
 def levels(c: DataFrame) -> DataFrame:
-    """(claim_id, supersedes_id) -> level: how many claims lie before it. Pointer doubling: rounds grow with log(depth)."""
+    """(claim_id, supersedes_id) -> level: how many claims lie before it; null on a cycle or behind one, to come last.
+
+    Pointer doubling: rounds grow with log(depth), and end with log(claims) where a cycle has no end.
+    """
     known = c.select("claim_id")
     up = c.join(known.select(F.col("claim_id").alias("supersedes_id")), "supersedes_id", "left_semi").select("claim_id", "supersedes_id")
     p = durable(known.join(up, "claim_id", "left").select("claim_id", F.col("supersedes_id").alias("to"), F.col("supersedes_id").isNotNull().cast("long").alias("level")))
-    while p.where("to is not null").limit(1).count():
+    n, reach = p.where("to is not null").count(), 1
+    while reach <= 2 * n and not p.where("to is not null").isEmpty():
         far = p.select(F.col("claim_id").alias("to"), F.col("to").alias("_to"), F.col("level").alias("_level"))
         p = durable(p.join(far, "to", "left").select("claim_id", F.col("_to").alias("to"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level")))
-    return p.select("claim_id", "level")
+        reach *= 2
+    return p.select("claim_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
 
 
 def heads(c: DataFrame) -> DataFrame:
-    """(claim_id, head_id): the terminal successors of every superseded claim.
+    """(claim_id, head_id): the terminal successors of every superseded claim; head_id is null where a cycle has none.
 
-    Walks back from the heads; as a claim supersedes at most one, each (claim, head) pair is met once.
+    A claim supersedes at most one, so walking back from the heads is a forest: each round doubles the step, which takes
+    log(depth) rounds. Claims that are superseded but reach no head lie on a cycle or before one.
     """
-    edge = c.where("supersedes_id is not null").select(F.col("claim_id").alias("at"), F.col("supersedes_id").alias("before"))
-    tips = c.join(edge.select(F.col("before").alias("claim_id")), "claim_id", "left_anti").select(F.col("claim_id").alias("head_id"), F.col("claim_id").alias("at"))
-    now = durable(tips.join(edge, "at").select("head_id", F.col("before").alias("at")))
-    out = now
-    while now.limit(1).count():
-        now = durable(now.join(edge, "at").select("head_id", F.col("before").alias("at")))
-        out = out.union(now)
-    return out.select(F.col("at").alias("claim_id"), "head_id")
+    edge = durable(c.where("supersedes_id is not null").select(F.col("claim_id").alias("at"), F.col("supersedes_id").alias("before")))
+    tips = c.join(edge.select(F.col("before").alias("claim_id")), "claim_id", "left_anti").select(F.col("claim_id").alias("head_id"))
+    # out holds (head, ancestor) at distances below some power of two; jump leads over just that distance
+    out = durable(tips.select("head_id", F.col("head_id").alias("at")))
+    jump, more = edge, True
+    while more:
+        step = durable(out.join(jump, "at").select("head_id", F.col("before").alias("at")).distinct().join(out, ["head_id", "at"], "left_anti"))
+        more = not step.isEmpty()
+        if more:
+            out = durable(out.union(step))
+            jump = durable(jump.join(jump.select(F.col("at").alias("before"), F.col("before").alias("_far")), "before").select("at", F.col("_far").alias("before")))
+    found = out.where("head_id <> at").select(F.col("at").alias("claim_id"), "head_id")
+    superseded = c.select("claim_id").join(edge.select(F.col("before").alias("claim_id")).distinct(), "claim_id", "left_semi")
+    lost = superseded.join(found.select("claim_id").distinct(), "claim_id", "left_anti")
+    return found.union(lost.select("claim_id", F.lit(None).cast("string").alias("head_id")))
 
 
 def revalidate(refs: DataFrame, c: DataFrame, live_versions: DataFrame) -> DataFrame:

@@ -9,6 +9,18 @@ from pyspark.sql.types import IntegerType
 
 SUFFIXES = ("ation", "ing", "ed", "s")  # fixed values: the first that fits is cut, if more than three letters stay
 BROADCAST_TERMS = 200_000
+# Function words and words of time, which are no evidence of a subject.
+STOP = """a an the of for to in on at by from with without and or as well
+what which who where when why how is are was were be been do does did we our it
+its them they their this that these those use uses used currently current now
+previous previously before after then than rather during once still already
+have has had can could would should will may might selected decision decisions
+architecture project system application documented fact contract assertion
+source sources document documents claim claims evidence exact show tell list
+about regarding both also same all any each one two know known knowledge
+stage checkpoint pilot cutover expansion federation clarification restored
+restoration deleted deletion historical history formerly earlier later old
+looking back today tomorrow setting aside ignore regardless between until""".split()
 
 
 def stem(term: Column) -> Column:
@@ -20,7 +32,8 @@ def stem(term: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9]+)"), 1), stem))
+    words = F.array_except(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9]+)"), 1), F.array(*map(F.lit, STOP)))
+    return F.array_distinct(F.transform(words, stem))
 
 
 def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
@@ -86,21 +99,29 @@ def prefix_budget(rows: DataFrame, by: str, order: list[Column], size: Column, b
     return rows.withColumn("used", running).where(F.col("used") <= budget)
 
 
-def skip_budget(rows: DataFrame, by: str, budget: int, most: int) -> DataFrame:
-    """(by, id, score, size): the best `most` candidates of a request in order, skipping those that no longer fit.
+def skip_budget(rows: DataFrame, by: str, budget: int, most: int | None = None) -> DataFrame:
+    """(by, id, score, size): candidates of a request in order, skipping those that no longer fit; with `most`, its top ones.
 
-    What fits depends on all taken before, so a request is one group, bounded by the top-k that precedes it.
+    Once a candidate of some size does not fit, none of that size fits later: of each size at most budget / size are ever
+    taken, the first ones. So all others are left out before a request becomes one group, which is then bounded by the
+    budget alone (about budget * ln(budget) rows), however many candidates the request has. Sizes count as 1 at least.
     """
-    top = best(rows.select(by, "id", "score", "size"), by, "id", most)
+    sized = rows.select(by, "id", "score", F.greatest("size", F.lit(1).cast(rows.schema["size"].dataType)).alias("size"))
+    if most is not None:
+        sized = best(sized, by, "id", most).drop("rank")
+    place = F.row_number().over(Window.partitionBy(by, "size").orderBy(F.desc("score"), "id"))
+    able = sized.where(F.col("size") <= budget).withColumn("_place", place).where((F.col("_place") <= budget) & (F.col("_place") * F.col("size") <= budget)).drop("_place")
 
     def take(part: pd.DataFrame) -> pd.DataFrame:
-        part, left, keep = part.sort_values("rank"), budget, []
+        part = part.sort_values(["score", "id"], ascending=[False, True], kind="stable")
+        left, keep = budget, []
         for size in part["size"]:
             keep.append(size <= left)
             left -= size * keep[-1]
-        return part.loc[keep, [by, "id", "size", "rank"]]
+        part = part.loc[keep, [by, "id", "size"]]
+        return part.assign(rank=range(1, len(part) + 1))
 
-    return top.groupBy(by).applyInPandas(take, rows.select(by, "id", "size").schema.add("rank", IntegerType()))
+    return able.groupBy(by).applyInPandas(take, able.select(by, "id", "size").schema.add("rank", IntegerType()))
 
 
 def related(docs: DataFrame, asked: Column) -> DataFrame:

@@ -13,13 +13,13 @@ def dot(a: str, b: str) -> Column:
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(query_id, vector) x (item_id, vector) -> the k nearest items of each query, ties by item_id.
+    """(query_id, vector) x (item_id, vector) -> the k nearest other items of each query, ties by item_id.
 
     A stated query set against all rows: the queries are broadcast up to a checked number, else Spark picks the join.
     """
     q = queries.select("query_id", F.col("vector").alias("_q"))
     q = F.broadcast(q) if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else q
-    scored = items.select("item_id", F.col("vector").alias("_v")).join(q).select("query_id", "item_id", F.round(dot("_q", "_v"), 6).alias("score"))
+    scored = items.select("item_id", F.col("vector").alias("_v")).join(q, F.col("item_id") != F.col("query_id")).select("query_id", "item_id", F.round(dot("_q", "_v"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -43,8 +43,22 @@ def document_frequency(rows: DataFrame, terms: str = "terms") -> DataFrame:
     return rows.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+BINS = 1024
+
+
 def latency_percentile(log: DataFrame, share: float = 0.95) -> DataFrame:
-    """The element at int(share * (n - 1)) of the sorted latencies of each operation; found by rank, not by gathering."""
-    w = Window.partitionBy("operation").orderBy("latency_ms", "query_id")
-    n = log.groupBy("operation").agg(F.count("*").alias("n"))
-    return log.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(n), "operation").where(F.col("i") == F.floor(F.lit(share) * (F.col("n") - 1))).select("operation", "n", F.col("latency_ms").alias("p95"))
+    """The element at int(share * (n - 1)) of the sorted latencies of each operation.
+
+    Equal latencies are counted first. BINS ranges of each operation's values, summed in order, name the range that holds
+    the rank; only the values of that range are put in order, so no operation's log is sorted whole.
+    """
+    counts = log.where("latency_ms is not null").groupBy("operation", "latency_ms").agg(F.count("*").alias("c"))
+    span = counts.groupBy("operation").agg(F.sum("c").alias("n"), F.min("latency_ms").alias("_lo"), F.max("latency_ms").alias("_hi"))
+    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1), F.floor((F.col("latency_ms") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
+    binned = counts.join(span, "operation").withColumn("_bin", bin_)
+    before = F.sum("_c").over(Window.partitionBy("operation").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = binned.groupBy("operation", "n", "_bin").agg(F.sum("c").alias("_c")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    rank = F.floor(F.lit(share) * (F.col("n") - 1))
+    hit = bins.where((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))).select("operation", "_bin", "_before")
+    upto = F.col("_before") + F.sum("c").over(Window.partitionBy("operation").orderBy("latency_ms"))
+    return binned.join(hit, ["operation", "_bin"]).withColumn("_upto", upto).where(F.col("_upto") > rank).groupBy("operation", "n").agg(F.min("latency_ms").alias("p95"))

@@ -137,15 +137,29 @@ def audit_edges(c: DataFrame) -> DataFrame:
     return c.where("supersedes_id is not null").join(t, "supersedes_id", "left").where("t_corpus is null or t_corpus <> corpus_id or t_key <> key or t_at >= observed_at").select("claim_id", "supersedes_id")
 
 
-def lineage(c: DataFrame, rounds: int = 40) -> DataFrame:
-    """Each claim's first ancestor along supersedes_id: pointer doubling, a checkpoint a round, O(log depth) rounds."""
-    p = c.select("claim_id", F.coalesce("supersedes_id", "claim_id").alias("up"))
-    for _ in range(rounds):
-        p = durable(p)
-        q = p.select(F.col("claim_id").alias("up"), F.col("up").alias("higher"))
-        step = p.join(q, "up").select("claim_id", F.col("higher").alias("up"), (F.col("up") != F.col("higher")).alias("moved"))
-        step = durable(step)
-        p = step.select("claim_id", "up")
-        if not step.where("moved").limit(1).count():
-            break
-    return p.select("claim_id", F.col("up").alias("chain_id"))
+def lineage(c: DataFrame) -> DataFrame:
+    """Each claim's first ancestor along supersedes_id: pointer doubling, O(log depth) rounds over the claims with an edge.
+
+    An edge to a claim that is not in the table ends the chain there. Claims on a cycle, or behind one, have no first
+    ancestor: their chain_id is null.
+    """
+    known = c.select(F.col("claim_id").alias("supersedes_id"))
+    edges = durable(c.where("supersedes_id is not null").join(known, "supersedes_id", "left_semi").select("claim_id", F.col("supersedes_id").alias("up")))
+    n, rounds, p = edges.count(), 0, edges.withColumn("done", F.lit(False))
+    while n and not p.where("not done").isEmpty() and 1 << rounds <= 2 * n:
+        q = p.select(F.col("claim_id").alias("up"), F.col("up").alias("higher"), F.col("done").alias("there"))
+        p = durable(p.join(q, "up", "left").select("claim_id", F.coalesce("higher", "up").alias("up"), (F.col("done") | F.col("higher").isNull() | F.coalesce("there", F.lit(False))).alias("done")))
+        rounds += 1
+    chained = p.select("claim_id", F.when(F.col("done"), F.col("up")).alias("chain_id"))
+    return chained.union(c.select("claim_id").join(edges, "claim_id", "left_anti").select("claim_id", "claim_id"))
+
+
+def conflict_sides(resolved: DataFrame) -> DataFrame:
+    """Each conflicting claim with its side: the first claim of the key that says the same, and how many sides there are.
+
+    The claims of a key conflict with all of other values, so sides tell the whole graph without its pairs.
+    """
+    open_ = resolved.where("status = 'CONFLICTING'")
+    sides = open_.groupBy("corpus_id", "key", "val").agg(F.min("claim_id").alias("side"))
+    n = sides.groupBy("corpus_id", "key").agg(F.count("*").alias("n_sides"))
+    return open_.select("corpus_id", "key", "val", "claim_id").join(sides, ["corpus_id", "key", "val"]).join(n, ["corpus_id", "key"]).select("claim_id", "side", "n_sides")

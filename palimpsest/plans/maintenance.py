@@ -94,7 +94,7 @@ ORACLES = {
     "tombstones": _EDGES + "select corpus_id, doc_id, version_number + 1 version_number, version_id predecessor_id, 'DELETED' event from latest where doc_id % 5 = 0",
     "upsert_documents": _DOCS + ", o as (select path, id, content_hash h from docs where id % 10 <> 0), n as (select path, id + 1000000000 id, case when id % 7 = 0 then sha256(text || '!') else content_hash end h from docs where id % 13 <> 0) select coalesce(o.path, n.path) path, coalesce(o.id, n.id) id, coalesce(n.h, o.h) hash, n.h is not null and n.h is distinct from o.h written from o full join n on o.path = n.path",
     "erasure_report": ARCHIVE_SQL + ", versions as (select corpus_id from v), claims as (select corpus_id from c), " + _DOCS.removeprefix("with ") + ", " + "r as (" + " union all ".join(_COUNTS.format(n=n) for n in ("versions", "claims", "chunks")) + " union all " + _COUNTS.format(n="docs").replace("'docs'", "'documents'") + ") select * from r",
-    "audit_unique": ARCHIVE_SQL + "select version_id, key, 2 n from c where val % 50 = 0",
+    "audit_unique": ARCHIVE_SQL + "select version_id, key, count(*) n from (select version_id, key from c1 union all select version_id, key from c1 where val % 50 = 0) x group by all having count(*) > 1",
     "validity_by_day": ARCHIVE_SQL + ", days as (select distinct cast(ts as date) as day from events) select cast(days.day as varchar) as day, count(c.claim_id) n_valid from days left join c on cast(c.valid_from as date) <= days.day and (c.valid_until is null or days.day < cast(c.valid_until as date)) group by days.day",
     "resolve_prefixes": ARCHIVE_SQL + ", refs as (select distinct left(cast(user_id * 7 + 100 as varchar), 3) as ref from events), h as (select left(claim_id, 3) as ref, count(*) n, min(claim_id) m from c group by 1) select refs.ref, coalesce(n, 0) n, case when n = 1 then m end claim_id, case when n is null then 'missing' when n = 1 then 'resolved' else 'ambiguous' end outcome from refs left join h on h.ref = refs.ref",
     "label_confusion": "with x as (select lang, quality = 1 a, n_chars >= 400 p from labels join documents using (doc_id) where quality is not null), m as (select lang, count(*) filter (where a and p) tp, count(*) filter (where not a and p) fp, count(*) filter (where a and not p) fn, count(*) filter (where not a and not p) tn from x group by 1) select *, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) recall, round(tn / nullif(tn + fp, 0), 6) specificity, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) f1 from m",

@@ -91,6 +91,10 @@ def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
     return state.conflict_pairs(_resolved(spark, d))
 
 
+def conflict_sides(spark: SparkSession, d: str) -> DataFrame:
+    return state.conflict_sides(_resolved(spark, d))
+
+
 def withheld_counts(spark: SparkSession, d: str) -> DataFrame:
     info = F.element_at(F.map_from_arrays(F.array(*map(F.lit, (0, 1, 2))), F.array(*map(F.lit, ("draft", "rejected", "superseded")))), F.col("val") % 10)
     return _resolved(spark, d).where("status = 'CURRENT'").withColumn("info_state", F.coalesce(info, F.lit("approved"))).groupBy("info_state").agg(F.countDistinct("claim_id").alias("n"))
@@ -189,8 +193,8 @@ def text_availability(spark: SparkSession, d: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
-    q, items = e.where("vec_id < 20"), e.where("vec_id >= 20")
-    relevant = q.select(F.col("vec_id").alias("query_id"), "label").join(items.select(F.col("vec_id").alias("item_id"), "label"), "label").select("query_id", "item_id")
+    q, items = e.where("vec_id % 50 = 0"), e
+    relevant = q.select(F.col("vec_id").alias("query_id"), "label").join(items.select(F.col("vec_id").alias("item_id"), "label"), "label").where("query_id <> item_id").select("query_id", "item_id")
     return q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), relevant
 
 
@@ -226,7 +230,7 @@ _DOCS = """with docs as (select 'c' || (doc_id % 4) corpus_id, doc_id id, source
  ['kaggle','project','note','paper'][doc_id % 4 + 1] document_type, sha256(text) content_hash, text from documents),
 chunks as (select corpus_id, id doc_id, u.i - 1 order_index, u.t as text from (select corpus_id, id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'t': x, 'i': i})) u from docs) where trim(u.t) <> '')
 """
-_KNN = """with s as (select q.vec_id query_id, i.vec_id item_id, round(list_sum(list_transform(list_zip(q.embedding, i.embedding), lambda x: cast(x[1] as double) * cast(x[2] as double))), 6) score, q.label = i.label hit from embeddings q, embeddings i where q.vec_id < 20 and i.vec_id >= 20),
+_KNN = """with s as (select q.vec_id query_id, i.vec_id item_id, round(list_sum(list_transform(list_zip(q.embedding, i.embedding), lambda x: cast(x[1] as double) * cast(x[2] as double))), 6) score, q.label = i.label hit from embeddings q, embeddings i where q.vec_id % 50 = 0 and i.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s)
 """
 ORACLES = {
@@ -239,6 +243,7 @@ ORACLES = {
     "current_under_prefix": status_sql(NOW) + "select claim_id, path from s where status = 'CURRENT' and (path like 'users/3/%' or path like 'users/5/%')",
     "history": status_sql(NOW) + "select claim_id, status from s where status = 'SUPERSEDED' or version_id not in (select version_id from live)",
     "conflict_groups": status_sql(NOW) + "select corpus_id, key, count(distinct val) n_values, count(*) n_claims from s where status = 'CONFLICTING' group by all",
+    "conflict_sides": status_sql(NOW) + "select claim_id, min(claim_id) over (partition by corpus_id, key, val) side, (select count(distinct val) from s o where o.corpus_id = s.corpus_id and o.key = s.key and o.status = 'CONFLICTING') n_sides from s where status = 'CONFLICTING'",
     "conflict_pairs": status_sql(NOW) + "select a.corpus_id, a.key, a.claim_id left_id, b.claim_id right_id from s a join s b on a.corpus_id = b.corpus_id and a.key = b.key and a.claim_id < b.claim_id and a.doc_id <> b.doc_id and a.val <> b.val where a.status = 'CONFLICTING' and b.status = 'CONFLICTING'",
     "withheld_counts": status_sql(NOW) + "select case val % 10 when 0 then 'draft' when 1 then 'rejected' when 2 then 'superseded' else 'approved' end info_state, count(distinct claim_id) n from s where status = 'CURRENT' group by all",
     "changes": ARCHIVE_SQL + ", f as (select version_id, string_agg(key || '=' || val, ',' order by key) facts from c group by 1) select v.version_id, v.doc_id, v.event, case when event in ('DELETED','RESTORED') then 'LIFECYCLE' when event = 'MODIFIED' then 'DOCUMENT_MODIFIED' else 'NEW' end kind, b.facts is distinct from f.facts memory_changed from v left join f on f.version_id = v.version_id left join f b on b.version_id = v.predecessor_id",

@@ -5,7 +5,7 @@ import tempfile
 
 import pytest
 
-from palimpsest.operators import evaluate, graph, markdown, relevance
+from palimpsest.operators import evaluate, graph, markdown, relevance, retrieve, state
 from palimpsest.streaming import activity, lifecycle
 
 
@@ -97,3 +97,41 @@ def test_lifecycle_state_outlives_a_micro_batch(spark):
         df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
         out = activity.drain(lifecycle.lifecycle(spark.readStream.schema(schema).parquet(f"{folder}/in")), folder)
     assert rows(out.select("version_number", "version_id", "predecessor_id", "event")) == [(1, 2, None, "NEW"), (2, 4, 2, "MODIFIED"), (3, 5, 4, "DELETED"), (4, 7, 5, "RESTORED")]
+
+
+def test_skip_budget_leaves_no_candidate_out(spark):
+    data = [("a", i, (i * 7919) % 5003, 1 + (i * 31) % 90) for i in range(5000)]
+    got = relevance.skip_budget(spark.createDataFrame(data, "request string, id long, score long, size long"), "request", 300).orderBy("rank").collect()
+    left, want = 300, []
+    for x in sorted(data, key=lambda x: (-x[2], x[1])):
+        if x[3] <= left:
+            left -= x[3]
+            want.append(x[1])
+    assert [r.id for r in got] == want and left == 0
+
+
+def test_cycles_and_dangling_edges(spark):
+    chain = [("a", None), ("b", "zz"), ("c", "b"), ("x", "y"), ("y", "x"), ("t", "x"), ("u", "t")] + [(f"n{i:04}", f"n{i - 1:04}" if i else None) for i in range(700)]
+    c = spark.createDataFrame(chain, "claim_id string, supersedes_id string")
+    chains = dict(rows(state.lineage(c)))
+    assert len(chains) == len(chain) and (chains["a"], chains["b"], chains["c"], chains["n0699"]) == ("a", "b", "b", "n0000")
+    assert all(chains[i] is None for i in "xytu")
+    level = dict(rows(graph.levels(c)))
+    assert level["n0699"] == 699 and level["c"] == 1 and all(level[i] is None for i in "xytu")
+    heads = rows(graph.heads(c))
+    assert ("n0000", "n0699") in heads and ("x", "u") in heads and ("y", "u") in heads and ("t", "u") in heads
+    loop = spark.createDataFrame([("x", "y"), ("y", "x")], "claim_id string, supersedes_id string")
+    assert rows(graph.heads(loop)) == [("x", None), ("y", None)]
+
+
+def test_conflict_sides(spark):
+    r = spark.createDataFrame([("c", "k", i, f"id{i:02}", "CONFLICTING") for i in (1, 2, 2, 3)] + [("c", "k", 9, "gone", "SUPERSEDED")], "corpus_id string, key string, val int, claim_id string, status string")
+    assert {(s, n) for _, s, n in rows(state.conflict_sides(r))} == {("id01", 3), ("id02", 3), ("id03", 3)}
+
+
+def test_percentile_by_ranges(spark):
+    data = [("a", i, float((i * i) % 9973)) for i in range(5000)] + [("b", i, 7.0) for i in range(50)] + [("c", 1, 3.0), ("c", 2, None)]
+    got = {r.operation: (r.n, r.p95) for r in retrieve.latency_percentile(spark.createDataFrame(data, "operation string, query_id long, latency_ms double")).collect()}
+    for op in "abc":
+        x = sorted(v for o, _, v in data if o == op and v is not None)
+        assert got[op] == (len(x), x[int(0.95 * (len(x) - 1))])

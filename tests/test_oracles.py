@@ -2,17 +2,21 @@
 
 import pytest
 
-from palimpsest.plans import answers, maintenance, registry
+from palimpsest.plans import MODULES
 
 from .conftest import SF
 
-ORACLES, QUERIES = {**registry.ORACLES, **maintenance.ORACLES, **answers.ORACLES}, {**registry.QUERIES, **maintenance.QUERIES, **answers.QUERIES}
+ORACLES, QUERIES = ({k: v for m in MODULES for k, v in getattr(m, name).items()} for name in ("ORACLES", "QUERIES"))
 
 
 def norm(x):
     return round(x, 6) if isinstance(x, float) else x
 
 
+def test_names_are_of_one_module():
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in MODULES) and set(ORACLES) <= set(QUERIES)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_duckdb(spark, duck, name):
     df = QUERIES[name](spark, SF)
