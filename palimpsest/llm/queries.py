@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+def ranks() -> str:
+    """The rank file of the packing's vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +50,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import harmonic_pack
 
-    return harmonic_pack(table(spark, sf_dir, "documents"), RANKS)
+    return harmonic_pack(table(spark, sf_dir, "documents"), ranks())
 
 
 def op7_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def empty(docs):
 
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for df in (neardup.near_duplicates(empty), substrings.repeated_spans(empty), lm.score_documents(empty), mixing.cube_mix(empty), packing.harmonic_pack(empty, queries.RANKS), media.media_digest(empty), secrets.scan_secrets(empty, secrets.train(empty)), quality.quality_table(empty, labels)):
+    for df in (neardup.near_duplicates(empty), substrings.repeated_spans(empty), lm.score_documents(empty), mixing.cube_mix(empty), packing.harmonic_pack(empty, queries.ranks()), media.media_digest(empty), secrets.scan_secrets(empty, secrets.train(empty)), quality.quality_table(empty, labels)):
         assert df.count() == 0
     assert embeddings.embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert html.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
@@ -321,7 +321,7 @@ def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    pieces = packing.harmonic_pack(docs, queries.RANKS).collect()
+    pieces = packing.harmonic_pack(docs, queries.ranks()).collect()
     by_doc = collections.defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)
@@ -353,7 +353,7 @@ def test_packing_spaces(spark):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts += ["", " ", "<|endoftext|>", "a <|endoftext|><|endoftext|>  b", "é ü\u2028 x", "don't  we'll 12345 "]
-    enc = packing.encoder(queries.RANKS)
+    enc = packing.encoder(queries.ranks())
     for x in texts:
         assert enc.ids(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
