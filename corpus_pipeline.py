@@ -13,7 +13,7 @@ from palimpsest.llm.mixing import mixed_documents
 from palimpsest.llm.neardup import drop_near_duplicates
 from palimpsest.llm.packing import harmonic_pack
 from palimpsest.llm.quality import accepted_documents
-from palimpsest.llm.queries import RANKS, table
+from palimpsest.llm.queries import ranks, table
 from palimpsest.llm.secrets import redact_secrets, train
 
 
@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return harmonic_pack(docs, RANKS)
+    return harmonic_pack(docs, ranks())
 
 
 STAGES = [("quality classifier", quality), ("minhash near-dedup", near_dedup), ("secret scans", secrets), ("mixing to target weights", mix), ("packing", pack)]
