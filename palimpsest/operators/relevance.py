@@ -32,6 +32,11 @@ def stem(term: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9]+)"), 1), stem))
+
+
+def subject_terms(text: Column) -> Column:
+    """Terms but for the words that are no evidence of a subject."""
     words = F.array_except(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9]+)"), 1), F.array(*map(F.lit, STOP)))
     return F.array_distinct(F.transform(words, stem))
 
@@ -47,9 +52,9 @@ def overlap_scores(questions: DataFrame, docs: DataFrame) -> DataFrame:
     An inverted-index join: only postings of the questions' terms leave the scan, and pairs without a common term never
     appear. Terms that no document holds weigh most.
     """
-    asked = questions.select("question_id", F.explode(terms(F.col("text"))).alias("term"))
+    asked = questions.select("question_id", F.explode(subject_terms(F.col("text"))).alias("term"))
     wanted = small(asked.select("term").distinct())
-    postings = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+    postings = docs.select("doc_id", F.explode(subject_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
     n = docs.agg(F.count("*").alias("n_docs"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
