@@ -166,7 +166,7 @@ def block_pairs(rows: DataFrame, key: str, item: str, size: str, block: int) ->
     return dealt.withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_other", size)
 
 
-HEAVY = 512
+HEAVY, FEW = 512, 1 << 16  # below FEW rows no key can burden a task
 
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
@@ -178,7 +178,7 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n"
     table = materialize(table)
     total = table.agg(F.sum(n)).first()[0] or 0
     heavy = table.where(F.col(n) * HEAVY > total).drop(n)
-    if total < 1 << 16 or heavy.isEmpty():
+    if total < FEW or heavy.isEmpty():
         return rows.join(table.drop(n), keys)
     light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(table.where(F.col(n) * HEAVY <= total).drop(n), keys)
     return light.unionByName(rows.join(F.broadcast(heavy), keys))
@@ -197,12 +197,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     before = state(e)
     while before[0]:
+        few = before[0] < FEW // 2
+        star = (lambda rows, table: rows.join(table.drop("n"), "u")) if few else (lambda rows, table: spread_join(rows, table, ["u"]))
         both = e.union(e.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n"))
-        large = materialize(spread_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = star(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = large if few else materialize(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, least, ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
-        e = materialize(small)
+        starred = star(large, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("x")).select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
+        e = materialize(starred)
         after = state(e)
         if after == before:
             break
