@@ -197,7 +197,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     before = state(e)
     while before[0]:
-        few = before[0] < FEW // 2
+        few = before[0] < 4096
         star = (lambda rows, table: rows.join(table.drop("n"), "u")) if few else (lambda rows, table: spread_join(rows, table, ["u"]))
         both = e.union(e.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n"))
