@@ -1,5 +1,5 @@
 """The registered queries by subject; each module has QUERIES and ORACLES."""
 
-from palimpsest.plans import answers, maintenance, matching, registry, selection
+from palimpsest.plans import answers, gates, maintenance, matching, registry, selection
 
-MODULES = (registry, maintenance, answers, matching, selection)
+MODULES = (registry, maintenance, answers, matching, selection, gates)
