@@ -1,5 +1,5 @@
 """The registered queries by subject; each module has QUERIES and ORACLES."""
 
-from palimpsest.plans import answers, gates, maintenance, matching, registry, selection, stored
+from palimpsest.plans import answers, gates, maintenance, matching, receipts, registry, selection, stored
 
-MODULES = (registry, maintenance, answers, matching, selection, gates, stored)
+MODULES = (registry, maintenance, answers, matching, selection, gates, stored, receipts)
