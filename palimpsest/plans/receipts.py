@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import gates, receipts, relevance, subjects
+from palimpsest.operators import gates, packs, receipts, relevance, subjects
 from palimpsest.plans import gates as gate_plans
 from palimpsest.plans.answers import _SCORES, _terms_sql
 from palimpsest.plans.registry import EARLY, NOW, _resolved, status_sql
@@ -86,6 +86,14 @@ def contextual_scores(spark: SparkSession, d: str) -> DataFrame:
     return gates.shortlist(subjects.contextual_scores(q, docs), "question_id", "doc_id", 5)
 
 
+BUDGET = 900
+
+
+def bounded_packs(spark: SparkSession, d: str) -> DataFrame:
+    """One answer a corpus, of all its claims."""
+    return packs.bounded_pack(packs.units(_resolved(spark, d)), BUDGET)
+
+
 _FIELDS = {"claim": "claim", "claim_id": "claim_id", "corpus_id": "corpus_id", "end_offset": "end_offset", "inside": "inside", "key": "key", "quote": "claim", "start_offset": "start_offset", "status": "status", "version_id": "version_id"}
 
 
@@ -110,6 +118,14 @@ _KNN = gate_plans._KNN
 ORACLES = {
     "answer_receipts": _ANSWERS + f"select sha256({_TRUE}) receipt_id, corpus_id, key, claim_id, status, {_TRUE} body from p",
     "verified_receipts": _ANSWERS + f", g as (select p.*, {_GIVEN} given, length(claim) % 5 n from p) select case when n = 1 then sha256(given) else sha256({_TRUE}) end receipt_id, n <> 0 or status = 'CURRENT' integrity, n <> 1 provenance, true temporal, n <> 0 or status = 'CURRENT' supersession from g",
+    "bounded_packs": status_sql(NOW).replace("with fx_ev", "with recursive fx_ev", 1) + f""", x as (select corpus_id, key, claim_id, status, length(to_json({{'claim': claim, 'claim_id': claim_id, 'val': val}})::varchar) size from s),
+u as (select corpus_id request_id, case status when 'CURRENT' then 0 when 'SUPERSEDED' then 1 else 3 end field, claim_id unit_id, size from x where status <> 'CONFLICTING'
+ union all select corpus_id, 2, key, length('{{"key":"' || key || '","claims":[]}}') + sum(size) + count(*) - 1 from x where status = 'CONFLICTING' group by corpus_id, key),
+o as (select *, row_number() over (partition by request_id order by field, unit_id) i from u),
+g as (select request_id, 0 i, length('{{"conflicts":[],"current":[],"historical":[],"request":"' || request_id || '","truncated":true,"uncertain":[]}}') used, [-1] seen, false taken from (select distinct request_id from u) y
+ union all select g.request_id, o.i, case when fits then cost else used end, case when fits then list_append(seen, field) else seen end, fits from g join lateral (select o.*, g.used + o.size + list_contains(g.seen, o.field)::int cost, g.used + o.size + list_contains(g.seen, o.field)::int <= {BUDGET} fits from o where o.request_id = g.request_id and o.i = g.i + 1) o on true),
+e as (select request_id, max(used) used, count(*) - 1 = count(*) filter (where taken) and max(used) + 1 <= {BUDGET} whole from g group by 1)
+select g.request_id, ['current', 'historical', 'conflicts', 'uncertain'][field + 1] field, unit_id, size, case when whole then e.used + 1 else e.used end n_chars, not whole truncated from g join o on o.request_id = g.request_id and o.i = g.i join e on e.request_id = g.request_id where taken""",
     "decision_replay": _KNN + _DECIDE.format(i=1, where="true") + _DECIDE.format(i=2, where="item_id % 3 <> 0") + " select z1.question_id, case when z1.question_id % 100 = 50 then 'damaged' when z2.question_id is null then 'gone' when z1.pick is distinct from z2.pick or z1.abstained <> z2.abstained then 'changed' else 'same' end outcome from z1 left join z2 on z2.question_id = z1.question_id",
     "subject_gates": _NARROW + f""", bs as (select question_id, max(score) best from sc group by 1), ab as (select sw.question_id, count(distinct d.doc_id) n, max(sc.score) best from sw join d on d.term = sw.term left join sc on sc.question_id = sw.question_id and sc.doc_id = d.doc_id group by 1),
 va as (select distinct sw.term from sw join f on left(f.term, 4) = left(sw.term, 4) where sw.df is null and least(length(f.term), length(sw.term)) >= greatest(4, least(length(f.term), length(sw.term)) - 1) and left(f.term, greatest(4, least(length(f.term), length(sw.term)) - 1)) = left(sw.term, greatest(4, least(length(f.term), length(sw.term)) - 1))),
