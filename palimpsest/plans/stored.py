@@ -48,7 +48,7 @@ def rehydrated(spark: SparkSession, d: str) -> DataFrame:
     return stored.rehydrate(latest, live).select("corpus_id", "path", "origin", F.sha2("content", 256).alias("digest"))
 
 
-def replaced_chunks(spark: SparkSession, d: str) -> DataFrame:
+def rewritten_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth document has new chunks, every tenth none."""
     docs = archive.documents(spark, d)
     chunks = archive.line_chunks(docs)
@@ -172,7 +172,7 @@ ORACLES = {
     "rehydrated": BOTH + f""", a as (select corpus_id, path, case when event = 'DELETED' or doc_id % 7 = 0 then null else fp end content from {_LAST} y),
 live as (select corpus_id, path, text as content from docs union all select corpus_id, path, 'old' from v where version_number = 1 and doc_id % 2 = 0)
 select corpus_id, path, case when content is null then 'removed' else 'rebuilt' end origin, sha256(content) digest from a union all select corpus_id, path, 'live_only', sha256(content) from live where (corpus_id, path) not in (select (corpus_id, path) from a)""",
-    "replaced_chunks": _DOCS + "select doc_id, order_index, sha256(case when doc_id % 5 = 0 then text || '!' else text end) digest from chunks where doc_id % 10 <> 0",
+    "rewritten_chunks": _DOCS + "select doc_id, order_index, sha256(case when doc_id % 5 = 0 then text || '!' else text end) digest from chunks where doc_id % 10 <> 0",
     "vector_work": ARCHIVE_SQL + "select sha256(t) hash, min(claim_id) first_id, count(*) n from (select claim_id, val, split_part(key, '.', 1) || ' is ' || val t from c) x group by t having max(val) % 3 <> 0",
     "reset_counts": BOTH + "select 'corpora' table_name, count(*) filter (where corpus_id = 'c1') of_corpus, count(*) n from (select distinct corpus_id from docs) union all select 'versions', 0, count(*) from v where corpus_id <> 'c1' union all select 'claims', 0, count(*) from c where corpus_id <> 'c1' union all select 'documents', 0, count(*) from docs where corpus_id <> 'c1'",
     "staged": """with e as (select 'u/' || user_id path, cast(floor((day(ts) - 1) / 7) as int) stage, * from events), m as (select path, stage, max(event_id) filter (where event_type <> 'error') content, count(*) filter (where event_type = 'error' and event_id % 2 = 0) > 0 gone from e group by all having content is not null or gone),
