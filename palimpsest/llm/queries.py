@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracles import FILTER_AUDIT, PREFIX_TRIE
+
 
 def ranks() -> str:
     """The rank file of the packing's vocabulary."""
@@ -77,5 +79,23 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_html_extraction, op4_substring_dedup, op5_secret_scan, op6_harmonic_packing, op7_nn_descent_dedup, op8_elias_fano_lm, op9_cube_mixing, op10_iso_media)}
-ORACLES: dict[str, str] = {}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents")).drop("runs")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_html_extraction, op4_substring_dedup, op5_secret_scan, op6_harmonic_packing, op7_nn_descent_dedup, op8_elias_fano_lm, op9_cube_mixing, op10_iso_media, op11_filter_audit, op12_suffix_array_dedup, op13_prefix_trie)}
+ORACLES: dict[str, str] = {"op11_filter_audit": FILTER_AUDIT, "op13_prefix_trie": PREFIX_TRIE}
