@@ -9,7 +9,8 @@ are compared in pairs of blocks, which loses nothing and is quadratic. Lists tha
 meet in pairs of blocks of bounded size, which counts every link inside it in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do those of different length.
-Rows with a null vec_id are kept and link with nothing. Repeated vec_ids count as separate vectors of one name.
+Rows with a null vec_id are kept and link with nothing. Repeated vec_ids count as separate vectors of one name:
+distinct vectors are told apart by a hash of the vector (checked for collisions), and names come back at the end.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, materialize, rows_of, slices
+from .common import block_pairs, connected_components, materialize, rows_of, slices, spread_join
 from .neardup import spanning
 
 TREES, LEAF, NEIGHBOURS, ROUNDS = 6, 512, 8, 5
@@ -262,11 +263,14 @@ def count_links(threshold: float):
 def embedding_near_duplicates(df: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL) -> DataFrame:
     """vec_id, embedding -> vec_id, n_links, component_id, kept, and the audited recall."""
     units = materialize(unit_vectors(df))
-    reps = materialize(units.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("dim").alias("dim")))
+    for salt in itertools.count():
+        reps = materialize(units.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("name"), F.count("*").alias("weight"), F.first("dim").alias("dim")).withColumn("id", F.xxhash64(F.lit(salt), "vec")))
+        if reps.select("id").distinct().count() == reps.count():
+            break
 
     def place(edges: DataFrame) -> DataFrame:
         components = connected_components(edges).withColumnRenamed("id", "_id")
-        return materialize(reps.join(components, reps["id"] == components["_id"], "left").select("id", "dim", "vec", "weight", F.coalesce("component", "id").alias("component"), F.col("_id").isNotNull().alias("linked")))
+        return materialize(reps.join(components, reps["id"] == components["_id"], "left").select("id", "dim", "vec", "weight", "name", F.coalesce("component", "id").alias("component"), F.col("_id").isNotNull().alias("linked")))
 
     state = first_graph(reps, k, threshold)
     for _ in range(rounds):
@@ -281,7 +285,8 @@ def embedding_near_duplicates(df: DataFrame, threshold: float = 0.9, k: int = NE
     rows = placed.where("linked").withColumnRenamed("component", "key")
     rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key").select("key", "id", "vec", "weight", "size")
     counted = binned(block_pairs(rows, "key", "id", "size", BLOCK), count_links(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    by_vec = placed.join(counted, "id", "left").select(F.col("vec").alias("_v"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("_n"), F.col("component").alias("_c"))
+    first = placed.groupBy("component").agg(F.min("name").alias("_c"), F.count("*").alias("n"))
+    by_vec = spread_join(placed.drop("name"), first, ["component"]).join(counted, "id", "left").select(F.col("vec").alias("_v"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("_n"), "_c")
     out = units.join(by_vec, F.col("vec") == F.col("_v"), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_c", "vec_id"))
     return out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(float(share)).alias("audited_recall"))

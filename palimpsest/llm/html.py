@@ -6,7 +6,8 @@ best container is kept, and from it upwards, at each level, those siblings that
 (articles, sections), and the headings, paragraphs, lists and figures beside them that are not mostly links; inside an
 article or main element all siblings but link lists. An element's name only raises its score. Menus, headers, footers,
 asides, notices, adverts, forms, scripts, styles and reader comments are not part of any block; a name that may mean
-either (DOUBT) counts as such only for elements that are mostly links or hold no paragraph.
+either (DOUBT) counts as such only for elements with many links or a small share of the page's points. An attribute whose
+quote never closes takes the rest of the page with its tag, as in browsers.
 
 Text: character references decoded, white space inside a block made one space, trimmed, blocks in page order joined by
 a newline. A null or empty page has an empty text; broken or cut markup closes at the end of the page. Pages are handled
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import rows_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=(?!\s*[\"'])|[\"'])*+)(?:>|\Z)", re.S)
 SPACE = re.compile(r"[\s ]+")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
 # Elements by their part in a page.
@@ -38,14 +39,14 @@ BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol dl table figure".sp
 ENDS_P = BLOCK | frozenset("nav header footer aside form menu".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 AWAY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|popups?|modals?|newsletter|subscribe|sidebars?|menus?|nav\w*|breadcrumbs?|header|masthead|footer|comments?|disqus)(?:$|[\s_\d-])", re.I)
-DOUBT = re.compile(r"(?:^|[\s_-])(?:alerts?|side|widgets?|foot|replies|respond|share|sharing|social|related|recommend\w*|login|search|pagination|pager|toolbar|skip)(?:$|[\s_\d-])", re.I)
+DOUBT = re.compile(r"(?:^|[\s_-])(?:alerts?|cta|gdpr|signup|side|widgets?|foot|replies|respond|share|sharing|social|related|recommend\w*|login|search|pagination|pager|toolbar|skip)(?:$|[\s_\d-])", re.I)
 KEEP = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body)(?:$|[\s_-])", re.I)
-PARAGRAPH, LINKS, NAMED = 80, 0.3, 1.25
+DOUBTED, LINKS, NAMED = 0.25, 0.3, 1.25  # a doubtful element with less than this share of the page's points goes
 FIRST, ABOVE = 0.2, 0.4  # share of the best container's points that keeps a sibling, of it and of its ancestors
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "away", "doubt", "link", "inside", "named", "points", "full", "length", "linked", "longest", "kept")
+    __slots__ = ("tag", "parent", "children", "away", "doubt", "link", "inside", "named", "points", "full", "length", "linked", "kept")
 
     def __init__(self, tag: str, parent: Node | None, away: bool, named: bool = False):
         self.tag, self.parent, self.away, self.named = tag, parent, away, named or tag in ("article", "main")
@@ -53,7 +54,7 @@ class Node:
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.children: list[Node | str] = []
         self.points = self.full = 0.0
-        self.length = self.linked = self.longest = 0
+        self.length = self.linked = 0
         self.doubt = self.kept = False
 
     def density(self) -> float:
@@ -168,7 +169,6 @@ def score(nodes: list[Node], found: list[tuple[Node, str]]) -> None:
     for block, text in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         block.full += points
-        block.longest = max(block.longest, len(text))
         node, share = block.parent if block.tag in LEAVES and block.parent else block, 1
         while node is not None and share <= 3:
             node.points += points / share
@@ -181,7 +181,6 @@ def score(nodes: list[Node], found: list[tuple[Node, str]]) -> None:
             node.parent.length += node.length
             node.parent.linked += node.linked
             node.parent.full += node.full
-            node.parent.longest = max(node.parent.longest, node.longest)
     for node in nodes:
         discount = 1 - min(1.0, node.density())
         node.points *= discount * (NAMED if node.named else 1)
@@ -221,13 +220,13 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     score(nodes, found)
-    doubtful = [n for n in nodes if n.doubt and (n.density() >= LINKS or n.longest < PARAGRAPH)]
+    doubtful = [n for n in nodes if n.doubt and (n.density() >= LINKS or n.full < DOUBTED * nodes[0].full)]
     if doubtful:
         for n in doubtful:
             n.away = True
         for n in nodes:
             n.points = n.full = 0.0
-            n.length = n.linked = n.longest = 0
+            n.length = n.linked = 0
         found = lines(nodes[0])
         nodes = [n for n in nodes if n.parent is None or not away_with(n)]
         if not found:

@@ -14,6 +14,7 @@ last in order; a null text has size 0. Repeated rows count each. An empty table
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -98,23 +99,23 @@ def row_key(*columns: str):
     """A 128-bit name (MD5) of a row's values: each is marked null or led by its length, so that no two rows read alike."""
     parts = []
     for c in columns or ("doc_id", "source", "text"):
-        value = F.col(c).cast("string")
+        value = F.col(f"`{c}`").cast("string")
         parts += [F.coalesce(F.octet_length(value).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(value, F.lit(""))]
     return F.md5(F.concat(*parts))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, each as often as the mix takes it; equal rows share what was taken of them."""
-    taken = cube_mix(docs, **options).groupBy("_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    rows = with_row_struct(docs, row_key().alias("_key")).groupBy("_key").agg(F.first("_row").alias("_row")).join(taken, "_key")
+    """docs, each as often as the mix takes it; rows equal in all columns share what was taken of them."""
+    taken = cube_mix(docs, named_by=docs.columns, **options).groupBy("_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    rows = with_row_struct(docs, row_key(*docs.columns).alias("_key")).groupBy("_key").agg(F.first("_row").alias("_row")).join(taken, "_key")
     return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
-def cube_mix(docs: DataFrame, group: int = GROUP, **shares) -> DataFrame:
+def cube_mix(docs: DataFrame, group: int = GROUP, named_by: Sequence[str] = (), **shares) -> DataFrame:
     """doc_id, text, source -> doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source,
-    copies, and _key, which names the row by these three columns.
+    copies, and _key, which names the row by these three columns or by those of named_by.
     """
-    sized = docs.select(row_key().alias("_key"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(row_key(*named_by).alias("_key"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
     sized = materialize(sized)
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     # one row a source: a bounded table, whose size Spark itself checks before it broadcasts it

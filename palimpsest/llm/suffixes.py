@@ -10,8 +10,8 @@ only suffixes around anchors that occur twice can repeat; they are put in order
 windows of an anchor lie in its surroundings: where a bucket's surroundings are all equal, all repeat, and no text moves.
 Otherwise one of each kind is sent: its suffixes are sorted from the right, byte by byte (each suffix order follows from
 that of the next start by a stable sort), which orders the suffixes at one start for many buckets at once. Buckets of
-more than `LIGHT` kinds are not gathered: their windows are counted by hash, first in eighths by the bytes all windows of
-an eighth share, so that only those that may repeat are spread out.
+more than `LIGHT` kinds are not gathered: their windows fall in eighths, whose whole stretches are counted by hash; only
+where kinds of a stretch differ but share the bytes that all its windows have in common are windows spread out and counted.
 
 Texts are UTF-8 bytes, null is empty; rows are documents of their own, whatever their doc_id (null too), so that a
 repeated row's text also starts elsewhere; with keep="first" equal rows count as one document and all stay. Texts under
@@ -25,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_values, materialize, mix, small, spread_join
 
 WINDOW, NODE = 200, 64
-LIGHT, BATCH = 1024, 8192  # kinds in a bucket that is sorted; rows sorted at once
+LIGHT, BATCH = 4096, 8192  # kinds in a bucket that is sorted; rows sorted at once
 BYTES = 1 << 21  # of text that a task hashes at once
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -103,7 +103,7 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def surroundings(docs: DataFrame, window: int, node: int) -> DataFrame:
-    """Every anchor: doc, key, pos, h (its bytes), t (its surroundings), and their ends lo and hi."""
+    """Every anchor: doc, key, pos, h (names its bytes), t (names its surroundings, cut at the ends of the text)."""
     reach = window - node
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +120,10 @@ def surroundings(docs: DataFrame, window: int, node: int) -> DataFrame:
                 of = np.searchsorted(ends, pos, "right")
                 lo, hi = np.maximum(starts[of], pos - reach), np.minimum(ends[of], pos + window)
                 t = mix(runs.of(lo, hi) ^ ((pos - lo) * 4096 + (hi - pos)).astype(np.uint64))
-                columns = (docs_[low:high][of], keys[low:high][of], (pos - starts[of]).astype(np.int32), mix(runs.of(pos, pos + node)).view(np.int64), t.view(np.int64), (lo - starts[of]).astype(np.int32), (hi - starts[of]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "key", "pos", "h", "t", "lo", "hi"])
+                columns = (docs_[low:high][of], keys[low:high][of], (pos - starts[of]).astype(np.int32), mix(runs.of(pos, pos + node)).view(np.int64), t.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "key", "pos", "h", "t"])
 
-    return docs.select("doc", "key", "text").mapInArrow(run, "doc long, key long, pos int, h long, t long, lo int, hi int")
+    return docs.select("doc", "key", "text").mapInArrow(run, "doc long, key long, pos int, h long, t long")
 
 
 def cut_out(docs: DataFrame, kinds: DataFrame, window: int, node: int) -> DataFrame:
@@ -254,66 +254,67 @@ def sorted_buckets(kinds: DataFrame, window: int, node: int, later: bool) -> Dat
 def counted_windows(kinds: DataFrame, window: int, node: int, later: bool) -> DataFrame:
     """Spans of repeated windows of the kinds in heavy buckets, by counting: no bucket is gathered.
 
-    The starts fall in eighths; the bytes that all windows of an eighth share are counted first, and only the windows of
-    eighths that several kinds share are spread out and counted.
+    The starts fall in eighths. Stretches of an eighth that are equal throughout repeat as a whole; one of each sort is
+    compared further, where another sort shares the bytes (the core) that all windows of the stretch hold.
     """
     first, width = window - node, 2 * window - node
     bounds = np.linspace(0, first + 1, 9).astype(int)
-    steps = [(int(a), int(b) - 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def hashed(pick, schema: str):
-        names = [c.split()[0] for c in schema.split(", ")]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, BATCH):
-                    part = batch.slice(at, BATCH)
-                    around = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(-1, width)
-                    row, s, e, extra = pick(part)
-                    h = part.column(3).to_numpy()[row].view(np.uint64)
-                    ab = []
-                    for i, base in enumerate(BASES):
-                        runs = Runs(around, base)
-                        ab.append(mix(((runs.sums[row, e] - runs.sums[row, s]) * runs.down[s]) ^ mix(h + s.astype(np.uint64) + np.uint64(i))).view(np.int64))
-                    columns = [part.column(0).to_numpy()[row], part.column(1).to_numpy()[row], part.column(2).to_numpy()[row], part.column(3).to_numpy()[row], *extra, *ab]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-        return run
-
-    def cores(part: pa.RecordBatch):
-        lo, hi = part.column(6).to_numpy(), part.column(7).to_numpy()
-        pairs = [np.flatnonzero((np.maximum(lo, s) <= np.minimum(hi - window, e))) for s, e in steps]
-        row = np.concatenate(pairs)
-        of = np.repeat(np.arange(len(steps)), [len(p) for p in pairs])
-        s, e = np.array(steps)[of].T
-        return row, e, s + window, [of.astype(np.int32)]
-
-    def windows(part: pa.RecordBatch):
-        lo, hi, eighths = part.column(6).to_numpy(), part.column(7).to_numpy(), part.column(8).to_pylist()
-        row, s = [], []
-        for i, chosen in enumerate(eighths):
-            for x in chosen:
-                starts = np.arange(max(steps[x][0], lo[i]), min(steps[x][1], hi[i] - window) + 1)
-                row.append(np.full(len(starts), i))
-                s.append(starts)
-        row, s = np.concatenate(row or [np.empty(0, int)]), np.concatenate(s or [np.empty(0, int)])
-        return row, s, s + window, [s.astype(np.int32)]
+    low, high = bounds[:-1], bounds[1:] - 1
+    place = F.struct("doc", "key", "pos")
+
+    def hashes(part: pa.RecordBatch, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        around = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(-1, width)
+        h, out = part.column(3).to_numpy()[row].view(np.uint64), []
+        for base in BASES:
+            runs = Runs(around, base)
+            out.append(mix(mix((runs.sums[row, end] - runs.sums[row, start]) * runs.down[start]) ^ mix(h + (start * 4096 + end).astype(np.uint64))).view(np.int64))
+        return out
+
+    def given(part: pa.RecordBatch, row: np.ndarray) -> list[np.ndarray]:
+        return [part.column(i).to_numpy()[row] for i in range(4)]
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                lo, hi = part.column(6).to_numpy(), part.column(7).to_numpy() - window
+                s, e = np.maximum(lo[:, None], low), np.minimum(hi[:, None], high)
+                row, of = np.nonzero(s <= e)
+                s, e = s[row, of], e[row, of]
+                columns = [*given(part, row), of.astype(np.int32), s.astype(np.int32), e.astype(np.int32), *hashes(part, row, high[of], low[of] + window), *hashes(part, row, s, e + window)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "key", "pos", "h", "eighth", "s", "e", "a", "b", "x", "y"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH // 8):
+                part = batch.slice(at, BATCH // 8)
+                found = [(i, x["s"], x["e"], x["alone"]) for i, xs in enumerate(part.column(8).to_pylist()) for x in xs]
+                i, s, e, alone = (np.array(c) for c in zip(*found, strict=True))
+                size = e - s + 1
+                row = np.repeat(i, size)
+                start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s, size)
+                columns = [*given(part, row), np.repeat(alone, size), start.astype(np.int32), *hashes(part, row, start, start + window)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "key", "pos", "h", "alone", "s", "a", "b"])
+
+    def span(start, end):
+        base = F.col("pos").cast("long") - first
+        return "doc", "key", (base + start).alias("lo"), (base + end + window).alias("hi")
 
     kinds = materialize(kinds)
-    schema = "doc long, key long, pos int, h long, {} int, a long, b long"
-    core = materialize(kinds.mapInArrow(hashed(cores, schema.format("eighth")), schema.format("eighth")))
-    shared = core.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    chosen = spread_join(core, shared, ["a", "b"]).groupBy("doc", "key", "pos", "h").agg(F.collect_set("eighth").alias("eighths"))
-    spread = materialize(kinds.join(chosen, ["doc", "key", "pos", "h"]).select(*kinds.columns, "eighths").withColumn("doc", F.col("doc")).select("doc", "key", "pos", "h", "alone", "around", "lo", "hi", "eighths"))
-    found = spread.mapInArrow(hashed(windows, schema.format("s")), schema.format("s"))
-    found = materialize(found)
-    place = F.struct("doc", "key", "pos")
+    parts = materialize(kinds.mapInArrow(stretches, "doc long, key long, pos int, h long, eighth int, s int, e int, a long, b long, x long, y long"))
+    sorts = materialize(parts.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "pos", "h", "s", "e", "a", "b")).alias("at")))
+    again = spread_join(parts, sorts.where("n > 1").select("x", "y", "n", F.struct("at.doc", "at.key", "at.pos").alias("least")), ["x", "y"])
+    known = (again if later else again.where(place > F.col("least"))).select(*span(F.col("s"), F.col("e")))
+    one = sorts.select("at.*", (F.lit(not later) | (F.col("n") == 1)).alias("single"))
+    shared = one.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    chosen = spread_join(one, shared, ["a", "b"]).groupBy("doc", "key", "pos", "h").agg(F.collect_set(F.struct("s", "e", F.col("single").alias("alone"))).alias("parts"))
+    # a kind that is not alone is known to repeat: it is there for the others
+    spread = kinds.join(chosen, ["doc", "key", "pos", "h"]).select(*kinds.columns, "parts")
+    found = materialize(spread.mapInArrow(windows, "doc long, key long, pos int, h long, alone boolean, s int, a long, b long"))
     equal = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1")
     hits = spread_join(found, equal, ["a", "b"])
-    hits = hits if later else hits.where(place > F.col("least"))
-    hits = hits.join(kinds.where("alone").select("doc", "key", "pos", "h"), ["doc", "key", "pos", "h"], "left_semi")
-    base = F.col("pos").cast("long") - first + F.col("s")
-    return hits.select("doc", "key", base.alias("lo"), (base + window).alias("hi"))
+    hits = hits.where("alone") if later else hits.where(place > F.col("least"))
+    return known.unionByName(hits.select(*span(F.col("s"), F.col("s"))))
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, node: int = NODE, keep: str = "none", light: int = LIGHT) -> DataFrame:
@@ -326,15 +327,17 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, node: int = NODE, kee
     kinds = materialize(found.where(F.col("mixed") | F.lit(not later)).groupBy("h", "t").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max("mixed").alias("mixed")))
     # a kind that occurs twice repeats as a whole
     again = spread_join(found.where(F.col("mixed") | F.lit(not later)), kinds.where("n > 1").select("h", "t", "n", "at"), ["h", "t"])
-    known = again.where("mixed").unionByName(found.where("not mixed").withColumn("at", F.lit(None).cast("struct<doc:long,key:long,pos:int>"))) if later else again.where(place > F.col("at"))
-    spans = [known.select("doc", "key", F.col("lo").cast("long"), F.col("hi").cast("long")).distinct()]
+    known = again.drop("at").unionByName(found.where("not mixed")) if later else again.where(place > F.col("at"))
+    at = F.col("pos").cast("long")
+    spans = [known.select("doc", "key", (at - (window - node)).alias("lo"), (at + window).alias("hi"))]
     mixed = kinds.where("mixed").select("h", "at.doc", "at.key", "at.pos", (F.lit(not later) | (F.col("n") == 1)).alias("alone"))
     sizes = materialize(mixed.groupBy("h").agg(F.count("*").alias("n")))
     heavy = materialize(sizes.where(F.col("n") > light).select("h"))
-    texts = materialize(cut_out(docs, mixed, window, node))
+    texts = cut_out(docs, mixed, window, node)
     if heavy.isEmpty():
         spans.append(sorted_buckets(texts, window, node, later))
     else:
+        texts = materialize(texts)
         spans.append(sorted_buckets(texts.join(small(heavy), "h", "left_anti").select(*texts.columns), window, node, later))
         spans.append(counted_windows(texts.join(small(heavy), "h", "left_semi").select(*texts.columns), window, node, later))
     every = spans[0]
@@ -343,15 +346,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, node: int = NODE, kee
     return materialize(every.groupBy("doc", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """doc, key, spans -> doc, key, runs (maximal removed runs lo, hi), n_removed, n_spans."""
+def merged(rows: DataFrame) -> DataFrame:
+    """doc, key, doc_id, n_bytes, _all, spans (null: none) -> runs (maximal removed runs lo, hi), n_removed, n_spans for spans."""
+    names = ["doc", "key", "doc_id", "n_bytes", "_all", "runs", "n_removed", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, total = [], []
-            for found in batch.column(2).to_pylist():
+            for found, n in zip(batch.column(5).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 runs: list[list[int]] = []
-                for lo, hi in sorted((x["lo"], x["hi"]) for x in found):
+                for lo, hi in sorted((max(0, x["lo"]), min(n, x["hi"])) for x in found or ()):
                     if runs and lo <= runs[-1][1]:
                         runs[-1][1] = max(hi, runs[-1][1])
                     else:
@@ -359,9 +363,10 @@ def merged(spans: DataFrame) -> DataFrame:
                 out.append([{"lo": a, "hi": b} for a, b in runs])
                 total.append(sum(b - a for a, b in runs))
             runs_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, runs_type), pa.array(total, pa.int64()), pa.array(map(len, out), pa.int64())], ["doc", "key", "runs", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, runs_type), pa.array(total, pa.int64()), pa.array(map(len, out), pa.int64())], names)
 
-    return spans.mapInArrow(run, "doc long, key long, runs array<struct<lo:long,hi:long>>, n_removed long, n_spans long")
+    columns = ["doc", "key", "doc_id", "n_bytes", "_all", "spans"]
+    return rows.select(columns).mapInArrow(run, "doc long, key long, doc_id long, n_bytes long, _all string, runs array<struct<lo:long,hi:long>>, n_removed long, n_spans long")
 
 
 def without(texts: DataFrame) -> DataFrame:
@@ -384,12 +389,12 @@ def without(texts: DataFrame) -> DataFrame:
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, node: int = NODE, keep: str = "none", light: int = LIGHT) -> DataFrame:
     """doc_id, text -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, and runs (lo, hi), the bytes removed."""
     docs = named(docs)
-    cut = materialize(merged(repeated_ranges(docs, window, node, keep, light)))
+    spans = repeated_ranges(docs, window, node, keep, light)
     whole = docs.select("doc", "key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("_all"))
-    sized = whole.join(cut, ["doc", "key"], "left")
+    sized = materialize(merged(whole.join(spans, ["doc", "key"], "left")))
     # the bytes of a text that goes as a whole need not be fetched; repeated rows are cut once
-    part = materialize(sized.where("n_removed < n_bytes").select("doc", "key", "runs").dropDuplicates(["doc", "key"]))
+    part = materialize(sized.where("0 < n_removed and n_removed < n_bytes").select("doc", "key", "runs").dropDuplicates(["doc", "key"]))
     texts = docs.join(small(part.select("doc", "key")), ["doc", "key"], "left_semi").join(part, ["doc", "key"]).select("doc", "key", "text", "runs")
     digests = without(texts).select("doc", "key", F.sha2("kept", 256).alias("_kept")).dropDuplicates(["doc", "key"])
-    none = F.lit(0).cast("long")
-    return sized.join(digests, ["doc", "key"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.when(F.col("n_removed") == F.col("n_bytes"), F.lit(EMPTY)).otherwise(F.coalesce("_kept", "_all")).alias("kept_sha256"), "runs")
+    gone = (F.col("n_removed") == F.col("n_bytes")) & (F.col("n_bytes") > 0)
+    return sized.join(digests, ["doc", "key"], "left").select("doc_id", "n_bytes", "n_removed", "n_spans", F.when(gone, F.lit(EMPTY)).otherwise(F.coalesce("_kept", "_all")).alias("kept_sha256"), "runs")
