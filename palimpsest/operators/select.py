@@ -53,7 +53,9 @@ def resolve_references(refs: DataFrame, c: DataFrame) -> DataFrame:
     """(ref_id, corpus_id, kind, ref) -> live claims named by key, id prefix or path: resolved, ambiguous or unresolved."""
     by = [("key", F.col("key")), ("id", F.col("claim_id")), ("path", F.lower("path"))]
     names = c.select("corpus_id", "claim_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("ref")) for k, x in by])).alias("x")).select("corpus_id", "claim_id", "x.*")
-    prefixes = names.where("kind = 'id'").select("corpus_id", "claim_id", F.lit("prefix").alias("kind"), F.explode(F.transform(F.sequence(F.lit(1), F.length("ref")), lambda n: F.col("ref").substr(F.lit(1), n))).alias("ref"))
+    # ids are cut to the lengths that a corpus was asked for, of which there are no more than an id has characters
+    asked = refs.where("kind = 'prefix'").groupBy("corpus_id").agg(F.collect_set(F.length("ref")).alias("lengths"))
+    prefixes = names.where("kind = 'id'").join(asked, "corpus_id").select("corpus_id", "claim_id", F.lit("prefix").alias("kind"), F.col("ref").alias("whole"), F.explode("lengths").alias("n")).where(F.length("whole") >= F.col("n")).withColumn("ref", F.col("whole").substr(F.lit(1), F.col("n")))
     wanted = refs.withColumn("ref", F.when(F.col("kind") == "path", F.lower("ref")).otherwise(F.col("ref")))
     hits = wanted.join(names.union(prefixes.select(*names.columns)), ["corpus_id", "kind", "ref"], "left").groupBy("ref_id", "kind").agg(F.count("claim_id").alias("n"), F.min("claim_id").alias("claim_id"))
     outcome = F.when(F.col("n") == 0, "unresolved").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
@@ -70,7 +72,7 @@ def overlap_pairs(requests: DataFrame, c: DataFrame, floor: float) -> DataFrame:
 
 def best_keys(pairs: DataFrame, c: DataFrame, band: float) -> DataFrame:
     """Keys of each request with at least `band` of its best key's score; a key scores what its best claim does."""
-    keyed = pairs.join(c.select("claim_id", "key"), "claim_id").groupBy("request_id", "key").agg(F.max("score").alias("score"))
+    keyed = pairs.join(c.select("claim_id", "corpus_id", "key"), "claim_id").groupBy("request_id", "corpus_id", "key").agg(F.max("score").alias("score"))
     top = F.max("score").over(Window.partitionBy("request_id"))
     return keyed.withColumn("_top", top).where(F.col("score") >= F.lit(band) * F.col("_top") - 1e-9).drop("_top")
 
@@ -84,12 +86,12 @@ def boilerplate(c: DataFrame, least: int = 12, share: float = 0.065) -> DataFram
 
 
 def near_tie_order(keys: DataFrame, c: DataFrame, band: float = 0.10) -> DataFrame:
-    """(request_id, key, score) in order; keys within the band of the best stand unscoped before scoped, then by score.
+    """(request_id, corpus_id, key, score) in order; keys within the band of the best stand unscoped before scoped, then by score.
 
-    A key is scoped where all its claims have a validity window.
+    A key is scoped where all its claims in the request's corpus have a validity window.
     """
-    scoped = c.groupBy("key").agg(F.bool_and(F.col("valid_from").isNotNull() | F.col("valid_until").isNotNull()).alias("scoped"))
-    j = keys.join(scoped, "key", "left").withColumn("_close", F.max("score").over(Window.partitionBy("request_id")) - F.col("score") < band)
+    scoped = c.groupBy("corpus_id", "key").agg(F.bool_and(F.col("valid_from").isNotNull() | F.col("valid_until").isNotNull()).alias("scoped"))
+    j = keys.join(scoped, ["corpus_id", "key"], "left").withColumn("_close", F.max("score").over(Window.partitionBy("request_id")) - F.col("score") < band)
     close = F.coalesce("scoped", F.lit(False)) & F.col("_close")
     place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("_close"), close, F.desc("score"), "key"))
     return j.select("request_id", "key", place.alias("position"))
@@ -160,8 +162,14 @@ def filed_requests(requests: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def seal(v: DataFrame, cutoff: Column) -> DataFrame:
-    """What a snapshot of each corpus held: number of versions and an order-free digest of their ids."""
-    return v.where(F.col("observed_at") <= cutoff).groupBy("corpus_id").agg(F.count("*").alias("n"), F.sum(F.crc32(F.col("version_id").cast("string").cast("binary"))).alias("digest"))
+    """What a snapshot of each corpus held: number of versions and a digest of their ids, events and fingerprints.
+
+    Versions are hashed, sorted in 65,536 buckets of their hashes, and the buckets' digests hashed in turn.
+    """
+    h = F.sha2(F.to_json(F.array(F.col("version_id").cast("string"), "event", "fp")), 256)
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256)
+    buckets = v.where(F.col("observed_at") <= cutoff).select("corpus_id", h.alias("h")).groupBy("corpus_id", F.substring("h", 1, 4).alias("bucket")).agg(F.count("*").alias("n"), joined.alias("h"))
+    return buckets.groupBy("corpus_id").agg(F.sum("n").alias("n"), joined.alias("digest"))
 
 
 def broken_seals(sealed: DataFrame, now: DataFrame) -> DataFrame:

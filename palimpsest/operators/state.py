@@ -13,7 +13,11 @@ from palimpsest.functions.durable import durable
 
 
 def instant(x: str | Column) -> Column:
-    return F.lit(x).cast("timestamp") if isinstance(x, str) else x
+    """A given time; text without a zone means UTC, whatever the session's zone."""
+    if not isinstance(x, str):
+        return x
+    whole = x if len(x) > 10 else f"{x}T00:00:00"
+    return F.lit(whole if whole[-1] == "Z" or "+" in whole else f"{whole}Z").cast("timestamp")
 
 
 def valid(at: str | Column) -> Column:

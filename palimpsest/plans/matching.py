@@ -168,9 +168,9 @@ z as (select *, case when trim(text) = '' then 'invalid_query' when len(dates) >
 select question_id, case when error is null then case when cut is not null then 'temporal' else {_rules_sql("low", matching.INTENTS, "current")} end end intent, case when error is null then cast(cut as varchar) end cutoff, error from z""",
     "memory_roles": EDGES_SQL + f"""select claim_id, case when regexp_matches(lower({pick_sql(HEADINGS, "doc_id")}), 'example|approved copy|sample') then 'example' else {_rules_sql(f"lower(claim || {pick_sql(SAYINGS, 'val')})", matching.ROLES, "fact")} end as role from c""",
     "document_states": _STATES + f"select doc_id, {_NAMES}[rank + 1] state, case when trim(status) <> '' and {_rank_sql('status')} is null then 'unknown_status:' || lower(trim(status)) end warning from sr",
-    "claim_states": _STATES + f""", p as (select claim_id, doc_id, {pick_sql(HEADINGS, "val")} || ' > ' || {pick_sql(HEADINGS, "val // 7")} path from c),
-o as (select claim_id, doc_id, coalesce(list_max(list_transform(string_split(path, ' > '), lambda t: {_heading_sql("t")})), 0) own from p)
-select claim_id, {_NAMES}[greatest(own, rank) + 1] state from o join sr using (doc_id)""",
+    "claim_states": _STATES + f""", hr as (select i, coalesce({_heading_sql("h")}, 0) own from (select i, {pick_sql(HEADINGS, "i")} h from range({len(HEADINGS)}) t(i)) x),
+dr as materialized (select doc_id, max(rank) as rank from sr group by 1), cc as materialized (select claim_id, doc_id, val % {len(HEADINGS)} a, val // 7 % {len(HEADINGS)} b from c)
+select claim_id, {_NAMES}[greatest(x.own, y.own, rank) + 1] state from cc join hr x on x.i = a join hr y on y.i = b join dr using (doc_id)""",
     "scope_resolution": """with g as (select user_id principal, 'c' || (day(ts) % (user_id % 3)) corpus_id from events where event_type = 'purchase' and user_id % 3 <> 0),
 o as (select principal, count(distinct corpus_id) n, min(corpus_id) sole from g group by 1),
 a as (select event_id request_id, user_id principal, case when event_id % 3 = 0 then 'c' || (event_id % 4) end corpus_id from events where event_type = 'signup'),

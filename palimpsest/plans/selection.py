@@ -102,7 +102,7 @@ def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def best_keys(spark: SparkSession, d: str) -> DataFrame:
-    return select.best_keys(*_pairs(spark, d), 0.9)
+    return select.best_keys(*_pairs(spark, d), 0.9).drop("corpus_id")
 
 
 def boilerplate_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +132,7 @@ def lexical_ranking(spark: SparkSession, d: str) -> DataFrame:
 def key_selection(spark: SparkSession, d: str) -> DataFrame:
     v = archive.versions(spark, d)
     c = _edges(spark, d)
-    keys = select.best_keys(select.overlap_pairs(_requests(spark, d), c, 0.3), c, 0.9).join(_requests(spark, d).select("request_id", "corpus_id"), "request_id")
+    keys = select.best_keys(select.overlap_pairs(_requests(spark, d), c, 0.3), c, 0.9)
     return select.selection(keys, state.resolve(v, c, NOW))
 
 
@@ -219,18 +219,19 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", texts.json_summary(body).alias("summary"))
 
 
+EVENTS = ("pilot", "cutover", "expansion")
 ASKED = (
     "Looking back, after the pilot, what tier does billing run at and who owns the runbook?", "Before 2024-01-05, which cache or store was used", "at stage b what is the retention policy, the owner, and the budget",
-    "Rather than guess, at cutover checkpoint which region holds orders", "During the expansion checkpoint", "Who owns it", "the queue depth and the retry limit as well as the alert channel",
+    "Rather than guess, at cutover checkpoint which region holds orders", "During the expansion checkpoint", "Who owns it", "the queue depth and the retry limit as well as the alert channel", "which retry limit and alert channel hold, rather than the queue depth",
 )
 
 
 def subjects(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", texts.subject(pick(ASKED, F.col("event_id"))).alias("subject"))
+    return table(spark, d, "events").select("event_id", texts.subject(pick(ASKED, F.col("event_id")), EVENTS).alias("subject"))
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    t = texts.topics(texts.subject(pick(ASKED, F.col("event_id"))), content_terms)
+    t = texts.topics(texts.subject(pick(ASKED, F.col("event_id")), EVENTS), content_terms)
     return table(spark, d, "events").select("event_id", F.posexplode(t).alias("position", "topic"))
 
 
@@ -430,7 +431,7 @@ cache as (select doc_id, ['m1','m2'][cast(vec_id // 5 % 2 as int) + 1] model, ca
 
 def _subject_sql(text: str) -> str:
     out = text
-    for p in texts.FRAMES:
+    for p in texts.framing(EVENTS):
         out = f"regexp_replace({out}, '{p}', '', 'g')"
     out = f"regexp_replace(regexp_replace({out}, '\\s+', ' ', 'g'), '^[ ,;]+|[ ,;]+$', '', 'g')"
     return f"case when {out} = '' then {text} else {out} end"
@@ -459,7 +460,7 @@ select ref_id, kind, n, case n when 0 then 'unresolved' when 1 then 'resolved' e
     "vector_cache_stats": _CACHE + "select count(*) n, count(distinct model) n_models, min(len(e)) least, max(len(e)) most from cache where e is not null",
     "best_keys": _Q + "select request_id, key, score from bk where score >= 0.9 * top - 1e-9",
     "boilerplate_terms": _MATCH + ", n as (select corpus_id, count(*) n from cx group by 1), t as (select corpus_id, term, count(*) df from (select corpus_id, unnest(said) term from h) x group by all) select corpus_id, term, df, df = n everywhere from t join n using (corpus_id) where df >= greatest(12, floor(n * 0.065))",
-    "near_tie_order": _Q + """, sc as (select key, bool_and(val % 3 > 0 and (valid_from is not null or valid_until is not null)) scoped from cx group by 1), o as (select request_id, key, score, scoped, top - score < 0.1 close from bk join sc using (key) where score >= 0.5 * top - 1e-9)
+    "near_tie_order": _Q + """, rc as (select request_id, corpus_id from r), sc as (select corpus_id, key, bool_and(val % 3 > 0 and (valid_from is not null or valid_until is not null)) scoped from cx group by all), o as (select request_id, key, score, scoped, top - score < 0.1 close from bk join rc using (request_id) join sc using (corpus_id, key) where score >= 0.5 * top - 1e-9)
 select request_id, key, row_number() over (partition by request_id order by close desc, scoped and close, score desc, key) as position from o""",
     "dedupe_top": _Q + """, f as (select *, row_number() over (partition by request_id, val order by score desc, observed_at, claim_id) f from pr join cx using (claim_id)), o as (select request_id, val, claim_id, row_number() over (partition by request_id order by score desc, observed_at, claim_id) as position from f where f = 1)
 select * from o where position <= 3""",
@@ -482,7 +483,7 @@ select a.doc_id, concat_ws(',', {", ".join(f"case when a.{f} is distinct from b.
 select doc_id, sha256('# ' || name || chr(10) || chr(10) || '```' || tag || chr(10) || {_STRIP.format(x="text")} || chr(10) || '```' || chr(10)) digest from x""",
     "json_documents": "with x as (select event_id, case when event_id % 3 = 0 then 5 else event_id % 5 end n from events) select event_id, case n when 0 then 'JSON document with keys: b, a' when 2 then 'JSON document (unparseable)' when 3 then 'JSON document with keys: c1, c2, c3, c4, c5, c6, c7, c8, c9, c10' when 5 then 'JSON document with keys: k' else 'JSON document' end summary from x",
     "subjects": _SUBJECTS + "select event_id, subject from s",
-    "topics": _SUBJECTS + f""", p as (select event_id, subject, list_transform(regexp_split_to_array(subject, '\\s+(?:and|or|as well as)\\s+|[,;]'), lambda t: regexp_replace(t, '^[ ,;]+|[ ,;]+$', '', 'g')) parts from s),
+    "topics": _SUBJECTS.replace("select event_id, case", "select event_id, regexp_replace(case", 1).replace(" as subject", f", '{texts.CONTRAST}', '') as subject", 1) + f""", p as (select event_id, subject, list_transform(regexp_split_to_array(subject, '\\s+(?:and|or|as well as)\\s+|[,;]'), lambda t: regexp_replace(t, '^[ ,;]+|[ ,;]+$', '', 'g')) parts from s),
 g as (select event_id, subject, list_filter(parts, lambda t: len({_CONTENT.format(x="t")}) >= 2) good from p), o as (select event_id, case when regexp_matches(subject, '\\bor\\b') or len(good) < 2 then [subject] else list_concat([subject], good)[1:4] end ts from g)
 select event_id, cast(unnest(range(len(ts))) as int) as position, unnest(ts) topic from o""",
     "representations": f"select doc_id, sha256(regexp_replace(string_split({_STRIP.format(x='text')}, chr(10))[1], '\\s+$', '') || ' k.' || lang || ' ' || source || '/' || doc_id) hash from documents where text is not null",

@@ -133,7 +133,7 @@ def _feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_late(spark: SparkSession, d: str) -> DataFrame:
-    """The events in three arrivals; those two days behind what came before are set aside."""
+    """The events in three arrivals; those twenty days behind what came before are set aside."""
     folder = activity.new_folder(spark)
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     for i in range(3):
