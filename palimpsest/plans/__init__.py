@@ -1,5 +1,5 @@
 """The registered queries by subject; each module has QUERIES and ORACLES."""
 
-from palimpsest.plans import answers, gates, maintenance, markdown, matching, merged, receipts, registry, selection, stored
+from palimpsest.plans import answers, gates, maintenance, markdown, matching, merged, projected, receipts, registry, selection, stored
 
-MODULES = (registry, maintenance, answers, matching, selection, gates, stored, receipts, markdown, merged)
+MODULES = (registry, maintenance, answers, matching, selection, gates, stored, receipts, markdown, merged, projected)
