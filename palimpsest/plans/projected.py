@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import projection
-from palimpsest.plans.registry import ARCHIVE_SQL, EARLY, NOW
+from palimpsest.operators import closures, projection
+from palimpsest.plans.registry import ARCHIVE_SQL, EARLY, EDGES_SQL, NOW
 from palimpsest.sources import archive
 from palimpsest.sources.archive import table
 
@@ -33,7 +33,43 @@ def projected_answers(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).select("request_id", F.col("answer.state").alias("state"), F.size("answer.documents").alias("n_documents"), F.size("answer.conflicts").alias("n_conflicts"), F.sha2(F.to_json("answer"), 256).alias("digest"))
 
 
+def conflict_closures(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of a key conflict where their values lie in one span of ten, spans starting at fives, so that conflicts chain;
+    every claim of a document with an id divisible by 50 asks."""
+    c = archive.claims(archive.versions(spark, d)).withColumn("val", F.col("val").cast("long"))
+    spans = F.explode(F.array(*[F.concat_ws("/", F.lit(str(s)), "corpus_id", "key", F.floor((F.col("val") + s) / 10).cast("string")) for s in (0, 5)]))
+    members = c.select(spans.alias("conflict_id"), "claim_id")
+    return closures.conflict_closure(c.where("doc_id % 50 = 0").select(F.col("claim_id").alias("request_id"), "claim_id"), members)
+
+
+def ingest_order(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in the order of their supersessions across documents, which run in circles in part; those of even documents
+    by odd ones are left out, so that some do not."""
+    c = archive.with_topic_edges(archive.claims(archive.versions(spark, d)))
+    of = c.select(F.col("claim_id").alias("supersedes_id"), F.col("doc_id").alias("before"))
+    edges = c.where("basis = 'topic_key' and not (doc_id % 2 = 1 and val % 2 = 0)").select("supersedes_id", F.col("doc_id").alias("after"), "val").join(of, "supersedes_id").where("before % 2 = 1 or after % 2 = 0")
+    return closures.ingest_order(archive.versions(spark, d).select(F.col("doc_id").alias("id")).distinct(), edges)
+
+
 ORACLES = {
+    "conflict_closures": ARCHIVE_SQL.replace("with fx_ev", "with recursive fx_ev", 1)
+    + """, m as materialized (select claim_id, s || '/' || corpus_id || '/' || key || '/' || cast(floor((val + s) / 10) as bigint) k from c, (select unnest([0, 5]) s) x),
+pr as materialized (select distinct a.claim_id a, b.claim_id b from m a join m b using (k) where a.claim_id <> b.claim_id),
+w(request_id, claim_id, n) as (select claim_id, claim_id, 0 from c where doc_id % 50 = 0 union select request_id, b, n + 1 from w join pr on a = claim_id where n < 12)
+select request_id, claim_id, min(n) as round from w group by 1, 2""",
+    "ingest_order": EDGES_SQL.replace("with fx_ev", "with recursive fx_ev", 1)
+    + """, ed as materialized (select distinct b.doc_id before, a.doc_id after from cx a join cx b on b.claim_id = a.supersedes_id where a.basis = 'topic_key' and not (a.doc_id % 2 = 1 and a.val % 2 = 0) and (b.doc_id % 2 = 1 or a.doc_id % 2 = 0) and a.doc_id <> b.doc_id),
+nd as materialized (select distinct doc_id id from v),
+rc(f, t) as (select before, after from ed union select f, after from rc join ed on before = t),
+ra as materialized (select * from rc), cy as materialized (select f id from ra where f = t),
+re as materialized (select distinct id from (select id from cy union all select t from ra join cy on f = id) x),
+la(id, n) as (select id, 0 from nd where id not in (from re) union select after, n + 1 from la join ed on before = id where after not in (from re)),
+lv as materialized (select id, max(n) lvl from la group by 1),
+co as materialized (select r.id, least(r.id, coalesce(min(x.t), r.id)) c from re r left join (select a.f, a.t from ra a join ra b on a.f = b.t and a.t = b.f) x on x.f = r.id group by r.id),
+ce as materialized (select distinct p.c before, q.c after from ed join co p on p.id = before join co q on q.id = after where p.c <> q.c),
+lb(id, n) as (select distinct c, 0 from co union select after, n + 1 from lb join ce on before = id),
+lw as materialized (select id, max(n) lvl from lb group by 1)
+select id, cast(lvl as int) as level, cast(null as bigint) component from lv union all select co.id, cast(lvl + coalesce((select max(lvl) + 1 from lv), 0) as int), c from co join lw on lw.id = c""",
     "projected_answers": ARCHIVE_SQL
     + f""", cu as (select unnest([timestamp '{CUTS[0]}', timestamp '{CUTS[1]}', timestamp '{CUTS[2]}']) as_of, unnest([0, 1, 2]) i),
 rq as (select event_id request_id, 'c' || (user_id % 4) corpus_id, as_of, case when event_id % 50 <> 0 then 'users/' || (user_id % 7) || '/' || user_id || '.md' end path from events join cu on i = event_id % 3 where event_type = 'signup'),
