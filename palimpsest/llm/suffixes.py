@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, materialize, mix, small, spread_join
+from .common import materialize, mix, slices, small, spread_join
 
 WINDOW, NODE = 200, 64
-LIGHT, BATCH = 4096, 8192  # kinds in a bucket that is sorted; rows sorted at once
-BYTES = 1 << 21  # of text that a task hashes at once
+LIGHT, BATCH = 4096, 2048  # kinds in a bucket that is sorted; rows sorted at once
+BYTES = 1 << 18  # of text that a task hashes at once
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 EMPTY = hashlib.sha256(b"").hexdigest()
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -107,7 +107,7 @@ def surroundings(docs: DataFrame, window: int, node: int) -> DataFrame:
     reach = window - node
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             docs_, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for low, high in groups(texts):
                 size = np.fromiter(map(len, texts[low:high]), np.int64, high - low)
@@ -134,7 +134,7 @@ def cut_out(docs: DataFrame, kinds: DataFrame, window: int, node: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "key", "pos", "h", "alone", "around", "lo", "hi"]
-        for batch in batches:
+        for batch in slices(batches):
             for doc, key, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 p = [x["pos"] for x in found]
                 around = [b"\0" * max(0, reach - x) + text[max(0, x - reach) : x + window] + b"\0" * max(0, x + window - len(text)) for x in p]
