@@ -64,6 +64,44 @@ def overlap_scores(questions: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.join(small(total), "question_id").select("question_id", "doc_id", F.round(F.col("hit") / F.col("total"), 6).alias("score"))
 
 
+def term_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text (one row a document) -> postings (doc_id, term) and one row with the number of documents."""
+    return docs.select("doc_id", F.explode(subject_terms(F.col("text"))).alias("term")), docs.agg(F.count("*").alias("n_docs"))
+
+
+def threshold_heads(questions: DataFrame, index: tuple[DataFrame, DataFrame], least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Weighed terms (question_id, term, idf, total, head), postings of the terms asked, and candidates (question_id, doc_id).
+
+    A question's terms go from the rarest on; one belongs to its head while it and those after it weigh `least` of the whole
+    or more. A document without a term of the head has too little left to reach `least`, so it never becomes a candidate.
+    """
+    asked = questions.select("question_id", F.explode(subject_terms(F.col("text"))).alias("term"))
+    held = index[0].join(small(asked.select("term").distinct()), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    weighed = asked.join(df, "term", "left").join(F.broadcast(index[1])).select("question_id", "term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf"))
+    own = Window.partitionBy("question_id")
+    rest = F.sum("idf").over(own.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
+    weighed = weighed.withColumns({"total": F.sum("idf").over(own), "_rest": rest})
+    weighed = weighed.select("question_id", "term", "idf", "total", (F.round(F.col("_rest") / F.col("total"), 9) >= least - 1e-6).alias("head"))
+    candidates = held.join(small(weighed.where("head").select("question_id", "term")), "term").select("question_id", "doc_id").distinct()
+    return weighed, held, candidates
+
+
+def overlap_above(questions: DataFrame, index: tuple[DataFrame, DataFrame], least: float) -> DataFrame:
+    """The rows of overlap_scores with a score of `least` or more (above 0), without meeting the pairs that cannot reach it.
+
+    index: term_index of the documents. Candidates are scored on the whole term sets of both sides.
+    """
+    weighed, held, candidates = threshold_heads(questions, index, least)
+    asked = weighed.groupBy("question_id").agg(F.collect_list(F.struct("term", "idf")).alias("asked"), F.max("total").alias("total"))
+    terms = held.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    both = F.filter("asked", lambda a: F.array_contains("terms", a["term"]))
+    hit = F.aggregate(both, F.lit(0.0), lambda x, a: x + a["idf"])
+    scored = candidates.join(asked, "question_id").join(terms, "doc_id").select("question_id", "doc_id", F.round(hit / F.col("total"), 6).alias("score"))
+    return scored.where(F.col("score") >= least)
+
+
 def best(scores: DataFrame, by: str, item: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), item))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)

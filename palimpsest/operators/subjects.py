@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import gates
-from palimpsest.operators.relevance import overlap_scores, small, subject_terms
+from palimpsest.operators.relevance import overlap_above, small, subject_terms, term_index
 
 # A strong answer, how far below the best the subject's best may lie, and from which share of the corpus on a
 # subject is its own topic; words that are too general to stand for a subject.
@@ -63,8 +63,13 @@ def coverage_order(scores: DataFrame, coverage: DataFrame, keys: DataFrame) -> D
 
 def duplicate_hints(statements: DataFrame, claims: DataFrame) -> DataFrame:
     """statement_id, text; claim_id, claim -> for each statement the three live claims that say most of it, if they say enough."""
-    scores = overlap_scores(statements.select(F.col("statement_id").alias("question_id"), "text"), claims.select(F.col("claim_id").alias("doc_id"), F.col("claim").alias("text")))
-    near = gates.shortlist(scores.where(F.col("score") >= HINT), "question_id", "doc_id", HINTS)
+    return hints(statements, term_index(claims.select(F.col("claim_id").alias("doc_id"), F.col("claim").alias("text"))))
+
+
+def hints(statements: DataFrame, index: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """duplicate_hints against an index of the claims (their ids as doc_id)."""
+    scores = overlap_above(statements.select(F.col("statement_id").alias("question_id"), "text"), index, HINT)
+    near = gates.shortlist(scores, "question_id", "doc_id", HINTS)
     return near.select(F.col("question_id").alias("statement_id"), F.col("doc_id").alias("claim_id"), "score", "rank")
 
 

@@ -76,14 +76,30 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def _feed(spark: SparkSession, d: str) -> DataFrame:
+    feed = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/event[s].parquet")  # a pattern: a table may be one file
+    return feed.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def stream_activity(spark: SparkSession, d: str) -> DataFrame:
     """The feed as a stream: events per closed day and type."""
-    path = f"{d}/events.parquet"
-    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/event[s].parquet")  # a pattern: a table may be one file
-    out = activity.drain(activity.windowed_activity(feed.withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "2 hours"), activity.new_folder(spark))
+    out = activity.drain(activity.windowed_activity(_feed(spark, d), "1 day", "2 hours"), activity.new_folder(spark))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Events per type in closed windows of a day, one beginning every six hours."""
+    out = activity.drain(activity.windowed_activity(_feed(spark, d), "1 day", "2 hours", "6 hours"), activity.new_folder(spark))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
+
+
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Closed sessions of each user, six hours without an event apart."""
+    out = activity.drain(activity.sessions(_feed(spark, d), "user_id", "6 hours", "2 hours"), activity.new_folder(spark))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return out.select("user_id", stamp("first"), stamp("last"), "n")
+
+
 _EDGES = ARCHIVE_SQL + """, cl as (select *, lag(claim_id) over w p_id, lag(doc_id) over w p_doc, lag(observed_at) over w p_at from c window w as (partition by corpus_id, key order by observed_at, claim_id)),
 cx as (select * exclude (supersedes_id), case when supersedes_id is null and val % 5 = 0 and p_doc <> doc_id and p_at < observed_at then p_id else supersedes_id end supersedes_id from cl),
 latest as (select * from (select *, row_number() over (partition by doc_id order by version_number desc) r from v) x where r = 1 and event <> 'DELETED')
@@ -103,5 +119,7 @@ ORACLES = {
     "stride_chunks": "select doc_id, order_index, sha256(substring(text, order_index * 448 + 1, 512)) digest from (select doc_id, text, cast(unnest(range(0, cast(greatest(0, ceil((length(text) - 512) / 448.0)) as bigint) + 1)) as int) order_index from documents where length(text) > 0)",
     "statements": "with s as (select conv_id, turn, trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^[# ]+', '')) t from conversations where role = 'user') select conv_id, turn, lag(turn) over (partition by conv_id order by turn) replaces, sha256(t) digest, greatest(1, length(t) // 4) tokens from s where t <> ''",
     "stream_activity": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) n from events group by all having date_trunc('day', min(ts)) + interval 1 day <= (select max(ts) from events) - interval 2 hours",
+    "stream_sliding": "with w as (select event_type, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') - i * interval 6 hours s from events, range(4) r(i)) select strftime(s, '%Y-%m-%d %H') as start, event_type, count(*) n from w where s + interval 1 day <= (select max(ts) from events) - interval 2 hours group by s, event_type",
+    "stream_sessions": "with o as (select user_id, ts, coalesce(ts > lag(ts) over (partition by user_id order by ts) + interval 6 hours, true) b from events), g as (select *, sum(b::int) over (partition by user_id order by ts rows unbounded preceding) s from o) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last, count(*) n from g group by user_id, s having max(ts) + interval 6 hours <= (select max(ts) from events) - interval 2 hours",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -11,6 +11,7 @@ from palimpsest.plans.answers import _SCORES, _terms_sql
 from palimpsest.plans.registry import EARLY, NOW, _resolved, status_sql
 from palimpsest.sources import archive
 from palimpsest.sources.archive import table
+from palimpsest.streaming import activity, arrivals
 
 
 def _receipts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -70,13 +71,32 @@ def duplicate_hints(spark: SparkSession, d: str) -> DataFrame:
     return subjects.duplicate_hints(q.select(F.col("question_id").alias("statement_id"), "text"), docs.select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim")))
 
 
+def threshold_join(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that reach 0.6 of each passage, and how many became candidates."""
+    q, _, docs = _subjects(spark, d)
+    index = relevance.term_index(docs)
+    met = relevance.threshold_heads(q, index, subjects.HINT)[2].groupBy("question_id").agg(F.count("*").alias("n_candidates"))
+    found = relevance.overlap_above(q, index, subjects.HINT).groupBy("question_id").agg(F.count("*").alias("n_found"), F.max("score").alias("best"))
+    return q.select("question_id").join(met, "question_id", "left").join(found, "question_id", "left").na.fill(0, ["n_candidates", "n_found"])
+
+
+def stream_hints(spark: SparkSession, d: str) -> DataFrame:
+    """The passages as a stream of statements against a stored index of the documents."""
+    _, _, docs = _subjects(spark, d)
+    folder = activity.new_folder(spark)
+    arrivals.store_index(relevance.term_index(docs), folder)
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/benchmark.parquet").schema).parquet(f"{d}/benchmar[k].parquet")  # a pattern: a table may be one file
+    arrivals.hint_stream(stream.select(F.col("item_id").alias("statement_id"), "text"), folder)
+    return arrivals.hints_so_far(spark, folder)
+
+
 def unmatched_parts(spark: SparkSession, d: str) -> DataFrame:
     """The words of a passage by fives as parts of a question."""
     q, _, docs = _subjects(spark, d)
     words = F.split("text", " ", -1)
     fives = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 5).cast("int")), lambda i: F.array_join(F.slice(words, i * 5 + 1, F.lit(5)), " "))
     parts = q.select("question_id", F.posexplode(fives).alias("part", "text"))
-    scores = relevance.overlap_scores(parts.select(F.concat_ws("/", "question_id", "part").alias("question_id"), "text"), docs)
+    scores = relevance.overlap_above(parts.select(F.concat_ws("/", "question_id", "part").alias("question_id"), "text"), relevance.term_index(docs), 0.65)
     return subjects.unmatched_parts(parts, scores, 0.65)
 
 
@@ -134,6 +154,9 @@ select b.item_id question_id, case when coalesce(bs.best, 0) < 0.65 and present
  when ab.n / (select count(*) from documents) < 0.01 and ab.best > 0 and ab.best < bs.best * 0.8 then 'subject_not_the_answer' end gate from benchmark b left join k on k.question_id = b.item_id left join bs on bs.question_id = b.item_id left join ab on ab.question_id = b.item_id""",
     "coverage_order": _NARROW + "select ss.question_id, source as key, round(max(ss.score * (1 + coalesce(sc.score, 0))), 6) score from ss left join sc on sc.question_id = ss.question_id and sc.doc_id = ss.doc_id join documents x on x.doc_id = ss.doc_id group by all",
     "duplicate_hints": _SCORES + "select question_id statement_id, doc_id claim_id, score, rank from r where score >= 0.6 and rank <= 3",
+    "threshold_join": _SCORES + f""", tt as (select question_id, sum(idf) total from w group by 1), rs as (select w.question_id, w.term, round(sum(w.idf) over (partition by w.question_id order by coalesce(f.df, 0) desc, w.term desc rows unbounded preceding) / total, 9) rest from w left join f on f.term = w.term join tt on tt.question_id = w.question_id),
+cn as (select question_id, count(distinct doc_id) n from rs join d on d.term = rs.term where rest >= {subjects.HINT} - 1e-6 group by 1), fo as (select question_id, count(*) n, max(score) best from sc where score >= {subjects.HINT} group by 1)
+select b.item_id question_id, coalesce(cn.n, 0) n_candidates, coalesce(fo.n, 0) n_found, best from benchmark b left join cn on cn.question_id = b.item_id left join fo on fo.question_id = b.item_id""",
     "unmatched_parts": f"""with w as (select item_id, string_split(text, ' ') w from benchmark), p as (select item_id, cast(unnest(range(0, (len(w) - 1) // 5 + 1)) as int) part, w from w), x as (select item_id, part, array_to_string(list_slice(w, part * 5 + 1, part * 5 + 5), ' ') text from p),
 q as (select item_id, part, {_terms_sql('text')} term from x), d as (select doc_id, {_terms_sql('text')} term from documents), f as (select term, count(*) df from d group by 1),
 wt as (select item_id, part, q.term, ln(((select count(*) from documents) + 1) / (coalesce(df, 0) + 1.0)) + 1 idf from q left join f on f.term = q.term), t as (select item_id, part, sum(idf) total from wt group by all),
@@ -141,4 +164,5 @@ sc as (select wt.item_id, wt.part, doc_id, round(sum(idf) / any_value(total), 6)
 select item_id question_id, part from x where (item_id, part) not in (select (item_id, part) from sc where score >= 0.65)""",
     "contextual_scores": _SCORES.split("sc as (")[0] + f"hd as (select doc_id, {_terms_sql(chr(39) + 'section data model ' + chr(39) + ' || lang || ' + chr(39) + ' ' + chr(39) + ' || source || ' + chr(39) + ' ' + chr(39) + ' || text')} term from documents), sc as (select w.question_id, doc_id, round(sum(idf) / any_value(total), 6) score from w join hd on hd.term = w.term join t on t.question_id = w.question_id group by all) select * from (select *, row_number() over (partition by question_id order by score desc, doc_id) as rank from sc) where rank <= 5",
 }
+ORACLES["stream_hints"] = ORACLES["duplicate_hints"]
 QUERIES = {name: globals()[name] for name in ORACLES}

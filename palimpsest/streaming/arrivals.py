@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators import subjects
 from palimpsest.streaming.activity import drain
 
 
@@ -57,3 +58,23 @@ def verdict_counts(calls: DataFrame, verdicts: DataFrame, folder: str, within: s
     on = (F.col("c.query_id") == F.col("v.query_id")) & (F.col("v.judged_at") >= F.col("c.ts") - F.expr(f"interval {within}")) & (F.col("v.judged_at") <= F.col("c.ts") + F.expr(f"interval {within}"))
     joined = drain(c.join(v, on).select("c.query_id", "c.match_status", "v.verdict"), folder)
     return joined.groupBy("match_status", "verdict").agg(F.count("*").alias("n"))
+
+
+def store_index(index: tuple[DataFrame, DataFrame], folder: str) -> None:
+    """Postings and number of documents of a term index, as the batches of a stream read them."""
+    index[0].write.mode("overwrite").parquet(f"{folder}/index/postings")
+    index[1].write.mode("overwrite").parquet(f"{folder}/index/n_docs")
+
+
+def hint_stream(statements: DataFrame, folder: str) -> None:
+    """A stream of statements (statement_id, text): each batch's hints against the index stored in the folder, under its number."""
+
+    def each(rows: DataFrame, batch: int) -> None:
+        index = tuple(rows.sparkSession.read.parquet(f"{folder}/index/{name}") for name in ("postings", "n_docs"))
+        subjects.hints(rows, index).write.mode("overwrite").parquet(f"{folder}/hints/batch={batch}")
+
+    _run(statements, folder, each)
+
+
+def hints_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("basePath", f"{folder}/hints").parquet(f"{folder}/hints").drop("batch")
