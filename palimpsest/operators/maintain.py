@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.retrieve import medians
 from palimpsest.operators.state import instant, latest_versions
 
 
@@ -76,8 +77,10 @@ def confusion(rows: DataFrame, by: str) -> DataFrame:
 
 
 def sample_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, median and sample deviation (0 below two samples)."""
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.percentile(value, 0.5), 4).alias("median"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 4).alias("stdev"))
+    """Mean, median and sample deviation (0 below two samples); the median by ranges, so that no group's values are in one place."""
+    per = rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 4).alias("stdev"))
+    middle = medians(rows, by, value).select(F.col(by).alias("_by"), F.round("median", 4).alias("median"))
+    return per.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "median", "stdev")
 
 
 def review_sample(rows: DataFrame, stratum: str, order: str, most: int) -> DataFrame:

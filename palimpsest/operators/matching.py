@@ -201,13 +201,20 @@ def document_references(refs: DataFrame, docs: DataFrame) -> DataFrame:
     return g.select("ref_id", outcome.alias("outcome"), F.when(outcome == "exact", F.col("exact")).when(outcome == "suffix", F.col("any")).alias("doc_id"))
 
 
+SPREAD = 16
+
+
 def any_selectors(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents of each request by its selectors corpus_id, document_type, since, until; a null selector takes any.
 
-    Undated documents go where a date bounds the request. The requests are few: they are counted before they are broadcast.
+    Undated documents go where a date bounds the request. A document goes by its corpus and type, by one of them and by
+    neither; a request asks by those it names, so they meet by equality, and dates are checked on what meets. Documents of
+    one corpus and type are spread over SPREAD shares, each of which every request for them reads.
     """
-    if requests.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 requests: ask in batches")
-    r = F.broadcast(requests.select("request_id", F.col("corpus_id").alias("c"), F.col("document_type").alias("t"), "since", "until"))
-    fits = (F.col("c").isNull() | (F.col("c") == F.col("corpus_id"))) & (F.col("t").isNull() | (F.col("t") == F.col("document_type"))) & (F.col("since").isNull() | (F.col("date") >= F.col("since"))) & (F.col("until").isNull() | (F.col("date") <= F.col("until")))
-    return docs.join(r, fits).select("request_id", "id")
+    named = lambda x: F.array(F.lit(None).cast("string"), F.col(x))
+    d = docs.select("id", "date", F.explode(F.array_distinct(named("corpus_id"))).alias("c"), "document_type").select("id", "date", "c", F.explode(F.array_distinct(named("document_type"))).alias("t"))
+    d = d.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
+    r = requests.select("request_id", F.col("corpus_id").alias("_c"), F.col("document_type").alias("_t"), "since", "until", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_share"))
+    same = F.col("c").eqNullSafe(F.col("_c")) & F.col("t").eqNullSafe(F.col("_t")) & (F.col("share") == F.col("_share"))
+    dated = (F.col("since").isNull() | (F.col("date") >= F.col("since"))) & (F.col("until").isNull() | (F.col("date") <= F.col("until")))
+    return d.join(r, same & dated).select("request_id", "id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,22 +45,64 @@ def document_frequency(rows: DataFrame, terms: str = "terms") -> DataFrame:
     return rows.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-BINS = 1024
+CUTS = 64
+
+
+def values_at(rows: DataFrame, by: str, value: str, places: Callable[[Column], Column]) -> DataFrame:
+    """(by, n, place, value): a group's values at `places(n)` (an array of places from 0) of its sorted ones; nulls do not count.
+
+    Equal values are counted first. CUTS quantiles of a group's different values (a sketch of bounded size) cut them into
+    ranges of about equal size, whose counts say exactly in which range a place lies; only such ranges are put in order. So
+    no group is sorted whole, however its values are spread, and a poor sketch costs time, not correctness.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    cuts = F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], 1000)
+    span = counts.groupBy(F.col(by).alias("_by")).agg(F.sum("c").alias("n"), cuts.alias("_cuts"))
+    binned = counts.join(span, F.col(by).eqNullSafe(F.col("_by"))).select(by, value, "c", "n", F.size(F.filter("_cuts", lambda x: x < F.col(value))).alias("_bin"))
+    before = F.sum("_c").over(Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = binned.groupBy(by, "n", "_bin").agg(F.sum("c").alias("_c")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    asked = F.filter(F.array_distinct(places(F.col("n"))), lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_c")))
+    hit = bins.select(F.col(by).alias("_by"), F.col("_bin").alias("_hit"), "_before", asked.alias("_asked")).where("size(_asked) > 0")
+    held = binned.join(hit, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bin") == F.col("_hit")))
+    upto = F.col("_before") + F.sum("c").over(Window.partitionBy(by, "_bin").orderBy(value))
+    own = F.filter("_asked", lambda p: (F.col("_upto") - F.col("c") <= p) & (p < F.col("_upto")))
+    return held.withColumn("_upto", upto).select(by, "n", F.explode(own).alias("place"), value)
 
 
 def latency_percentile(log: DataFrame, share: float = 0.95) -> DataFrame:
-    """The element at int(share * (n - 1)) of the sorted latencies of each operation.
+    """The element at int(share * (n - 1)) of the sorted latencies of each operation."""
+    at = values_at(log, "operation", "latency_ms", lambda n: F.array(F.floor(F.lit(share) * (n - 1))))
+    return at.select("operation", "n", F.col("latency_ms").alias("p95"))
+
+
+def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median): the middle value, or the mean of the two middle ones."""
+    at = values_at(rows, by, value, lambda n: F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
+    return at.groupBy(by).agg(F.avg(F.col(value).cast("double")).alias("median"))
+
+
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, text) x (item_id, passage) -> (doc_id, item_id) where the text holds the passage, character by character.
 
-    Equal latencies are counted first. BINS ranges of each operation's values, summed in order, name the range that holds
-    the rank; only the values of that range are put in order, so no operation's log is sorted whole.
+    Each passage goes to the documents that have its rarest inner word (one with white space on both sides, which any text
+    that holds the passage has as a whole word), and is confirmed there; a passage without one goes by its first characters,
+    four at most. So a passage meets the documents of one word, not all; only words and characters that are asked for leave
+    the scan. Null texts and passages give nothing, an empty passage is in every text, repeated rows give a row each.
     """
-    counts = log.where("latency_ms is not null").groupBy("operation", "latency_ms").agg(F.count("*").alias("c"))
-    span = counts.groupBy("operation").agg(F.sum("c").alias("n"), F.min("latency_ms").alias("_lo"), F.max("latency_ms").alias("_hi"))
-    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1), F.floor((F.col("latency_ms") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
-    binned = counts.join(span, "operation").withColumn("_bin", bin_)
-    before = F.sum("_c").over(Window.partitionBy("operation").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = binned.groupBy("operation", "n", "_bin").agg(F.sum("c").alias("_c")).withColumn("_before", F.coalesce(before, F.lit(0)))
-    rank = F.floor(F.lit(share) * (F.col("n") - 1))
-    hit = bins.where((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))).select("operation", "_bin", "_before")
-    upto = F.col("_before") + F.sum("c").over(Window.partitionBy("operation").orderBy("latency_ms"))
-    return binned.join(hit, ["operation", "_bin"]).withColumn("_upto", upto).where(F.col("_upto") > rank).groupBy("operation", "n").agg(F.min("latency_ms").alias("p95"))
+    asked = passages.where("passage is not null")
+    inner = F.slice(F.split("passage", r"[\x20\x09-\x0D]+", -1), F.lit(2), F.greatest(F.lit(0), F.size(F.split("passage", r"[\x20\x09-\x0D]+", -1)) - 2))
+    asked = asked.withColumn("_inner", F.array_distinct(inner))
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    words = asked.select(F.explode("_inner").alias("word")).distinct()
+    postings = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+", -1))).alias("word")).join(words, "word", "left_semi").distinct()
+    df = words.join(postings.groupBy("word").agg(F.count("*").alias("df")), "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
+    rarest = asked.where("size(_inner) > 0").select("passage", F.explode("_inner").alias("word")).distinct().join(df, "word").groupBy("passage").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    by_word = postings.join(rarest, "word").select("doc_id", "passage")
+    heads = asked.where("size(_inner) = 0").select("passage", F.substring("passage", 1, 4).alias("head")).distinct()
+    sizes = heads.agg(F.collect_set(F.length("head")).alias("sizes"))  # five numbers at most
+    starts = lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.substr(F.col("text"), i, n)))
+    grams = texts.join(F.broadcast(sizes)).where("size(sizes) > 0").select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform("sizes", starts)))).alias("head"))
+    by_head = grams.join(heads.select("head").distinct(), "head", "left_semi").distinct().join(heads, "head").select("doc_id", "passage")
+    met = by_word.union(by_head)
+    found = texts.join(met, "doc_id").where(F.contains("text", F.col("passage"))).select("doc_id", "passage")
+    return found.join(asked.select("item_id", "passage"), "passage").select("doc_id", "item_id")

@@ -186,9 +186,7 @@ def term_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_availability(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    items = F.broadcast(items) if items.limit(10_001).count() <= 10_000 else items
-    return table(spark, d, "documents").select("doc_id", "text").join(items, F.expr("contains(text, passage)")).select("doc_id", "item_id")
+    return retrieve.containing(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

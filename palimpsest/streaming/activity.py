@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.durable import shared_folder
+
 
 def windowed_activity(events: DataFrame, width: str, delay: str, slide: str | None = None) -> DataFrame:
     """ts, event_type -> events per closed window and type. Rows later than `delay` behind the newest are left out.
@@ -35,5 +36,4 @@ def drain(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
