@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from palimpsest.functions.durable import durable
+
 SUFFIXES = ("ation", "ing", "ed", "s")  # fixed values: the first that fits is cut, if more than three letters stay
 BROADCAST_TERMS = 200_000
 # Function words and words of time, which are no evidence of a subject.
@@ -129,11 +131,59 @@ def trigram_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
     return both.select("query_id", "item_id", F.round(F.col("both") / (F.col("nq") + F.col("ni") - F.col("both")), 6).alias("score"))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
-    """Two ranked lists (query_id, item_id, score, rank) -> items of both by reciprocal rank, with their weighted blend."""
-    j = vector.select("query_id", "item_id", F.col("score").alias("v"), F.col("rank").alias("rv")).join(keyword.select("query_id", "item_id", F.col("score").alias("w"), F.col("rank").alias("rw")), ["query_id", "item_id"])
-    j = j.select("query_id", "item_id", F.round(1 / (60.0 + F.col("rv")) + 1 / (60.0 + F.col("rw")), 9).alias("score"), F.round(0.7 * F.col("v") + 0.3 * F.col("w"), 8).alias("blend"))
-    return best(j, "query_id", "item_id", k)
+ID_RANGE = 65_536
+
+
+def smaller_ids(items: DataFrame) -> DataFrame:
+    """(item_id), different numbers -> (item_id, below): how many are smaller. Ranges of ids are counted, then each is put in order."""
+    ranged = items.select("item_id", F.floor(F.col("item_id") / ID_RANGE).alias("_range"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("item_id")) - 1
+    return ranged.join(starts, "_range").select("item_id", (F.col("_before") + own).alias("below"))
+
+
+def better_than(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, key) x (query_id, key) -> for each key asked, the number of the query's pairs with a smaller one.
+
+    Each pair only says between which two of the asked keys it lies, and is counted there before the shuffle: no query's list
+    is put in order. The keys asked of a query are few, by the caller's bound.
+    """
+    sorted_ = asked.groupBy("query_id").agg(F.array_sort(F.collect_set("key")).alias("_keys"))
+    place = F.size(F.filter("_keys", lambda x: x <= F.col("key"))).alias("_place")
+    n = pairs.join(small(sorted_), "query_id").select("query_id", place).groupBy("query_id", "_place").agg(F.count("*").alias("_n"))
+    slots = sorted_.select("query_id", F.posexplode("_keys").alias("_place", "key")).join(n, ["query_id", "_place"], "left")
+    upto = F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy("query_id").orderBy("_place"))
+    return slots.select("query_id", "key", upto.alias("n_better"))
+
+
+def fuse(vector: DataFrame, keyword: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Reciprocal rank fusion of two whole lists (query_id, item_id, score): the k best of each query, with their weighted blend.
+
+    vector has a score for every pair, keyword for those above 0, all others score 0 there; ties go by id; items (item_id) are
+    what both rank. Neither list is put in order. The k first of a list score more than 1 / (60 + k) each; what lies behind
+    place 2k + 60 in both scores less. So the first 2k + 60 of each list hold the answer, and only their places in the other
+    list are counted.
+    """
+    depth = 2 * k + 60
+    none = F.lit(0).cast("double")
+    by_vector, by_word = (best(x, "query_id", "item_id", depth).select("query_id", "item_id") for x in (vector, keyword))
+    held = keyword.groupBy("query_id").agg(F.count("*").alias("held"))
+    queries = vector.select("query_id").distinct().join(held, "query_id", "left").select("query_id", F.coalesce("held", F.lit(0)).alias("held"))
+    lowest = items.select("item_id").orderBy("item_id").limit(2 * depth + 1)  # what score 0 adds to the first of a short list
+    filled = queries.where(F.col("held") < depth).join(F.broadcast(lowest)).where("query_id <> item_id").select("query_id", "item_id")
+    both = by_vector.union(by_word).union(filled).distinct().join(vector.withColumnRenamed("score", "v"), ["query_id", "item_id"])
+    both = both.join(keyword.withColumnRenamed("score", "w"), ["query_id", "item_id"], "left").withColumn("w", F.coalesce("w", none))
+    both = durable(both.join(queries, "query_id").join(smaller_ids(items), "item_id"))
+    order = lambda score: F.struct((-F.col(score)).alias("a"), F.col("item_id").alias("b"))
+    v = better_than(vector.select("query_id", order("score").alias("key")), both.select("query_id", order("v").alias("key")))
+    w = better_than(keyword.select("query_id", order("score").alias("key")), both.where("w > 0").select("query_id", order("w").alias("key")))
+    i = better_than(keyword.select("query_id", F.col("item_id").alias("key")), both.where("w = 0").select("query_id", F.col("item_id").alias("key")))
+    at = lambda df, name: df.select("query_id", F.col("key.b").alias("item_id"), F.col("n_better").alias(name))
+    j = both.join(at(v, "_v"), ["query_id", "item_id"]).join(at(w, "_w"), ["query_id", "item_id"], "left").join(i.select("query_id", F.col("key").alias("item_id"), F.col("n_better").alias("_i")), ["query_id", "item_id"], "left")
+    unheld = F.col("held") + F.col("below") - (F.col("query_id") < F.col("item_id")).cast("int") - F.col("_i")
+    score = F.round(1 / (61.0 + F.col("_v")) + 1 / (61.0 + F.coalesce("_w", unheld)), 9)
+    return best(j.select("query_id", "item_id", score.alias("score"), F.round(0.7 * F.col("v") + 0.3 * F.col("w"), 8).alias("blend")), "query_id", "item_id", k)
 
 
 def prefix_budget(rows: DataFrame, by: str, order: list[Column], size: Column, budget: int) -> DataFrame:

@@ -14,16 +14,20 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(query_id, vector) x (item_id, vector) -> the k nearest other items of each query, ties by item_id.
+def scored_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, vector) x (item_id, vector) -> the dot product of each query with every other item.
 
     A stated query set against all rows: the queries are broadcast up to a checked number, else Spark picks the join.
     """
     q = queries.select("query_id", F.col("vector").alias("_q"))
     q = F.broadcast(q) if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else q
-    scored = items.select("item_id", F.col("vector").alias("_v")).join(q, F.col("item_id") != F.col("query_id")).select("query_id", "item_id", F.round(dot("_q", "_v"), 6).alias("score"))
+    return items.select("item_id", F.col("vector").alias("_v")).join(q, F.col("item_id") != F.col("query_id")).select("query_id", "item_id", F.round(dot("_q", "_v"), 6).alias("score"))
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The k nearest other items of each query, ties by item_id."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored_pairs(queries, items).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -28,27 +28,34 @@ def adjudication(spark: SparkSession, d: str) -> DataFrame:
     return relevance.adjudicate(_questions(spark, d), _scores(spark, d), 0.65, 0.05)
 
 
-def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The 100 nearest of each query by vector and by title: every row whose id is divisible by 50, against all others."""
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+
+
+def _titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     first = F.element_at(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), 1)
     titles = table(spark, d, "documents").select("doc_id", F.coalesce(F.substring(F.trim(first), 1, 120), F.lit("")).alias("text"))  # the title of a plain text
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    i = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    by_title = relevance.trigram_scores(titles.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), titles.withColumnRenamed("doc_id", "item_id"))
-    return retrieve.top_k(q, i, 100), relevance.best(by_title.where("query_id <> item_id"), "query_id", "item_id", 100)
+    return titles.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), titles.withColumnRenamed("doc_id", "item_id")
 
 
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return _lists(spark, d)[1].where("rank <= 10")
+    """The ten titles nearest to each title whose id is divisible by 50, of all others that share a trigram with it."""
+    return relevance.best(relevance.trigram_scores(*_titles(spark, d)).where("query_id <> item_id"), "query_id", "item_id", 10)
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return relevance.fuse(*_lists(spark, d), 5)
+    """The whole lists by vector and by title, fused: every row with a vector and a text whose id is divisible by 50, against all others."""
+    (q, i), (tq, ti) = _vectors(spark, d), _titles(spark, d)
+    both = i.select("item_id").intersect(ti.select("item_id"))
+    asked = both.select(F.col("item_id").alias("query_id"))
+    vector = retrieve.scored_pairs(q.join(asked, "query_id", "left_semi"), i.join(both, "item_id", "left_semi"))
+    keyword = relevance.trigram_scores(tq.join(asked, "query_id", "left_semi"), ti.join(both, "item_id", "left_semi")).where("query_id <> item_id")
+    return relevance.fuse(vector, keyword, both, 5)
 
 
 def recency_search(spark: SparkSession, d: str) -> DataFrame:
-    vector = _lists(spark, d)[0].select("query_id", "item_id", "score")
+    vector = retrieve.top_k(*_vectors(spark, d), 100).select("query_id", "item_id", "score")
     return relevance.best(relevance.recency_blend(vector), "query_id", "item_id", 5)
 
 
@@ -271,7 +278,10 @@ ORACLES = {
     "relevance_top": _SCORES + "select question_id, doc_id, score, rank from r where rank <= 3",
     "adjudication": _SCORES + ", a as (select b.item_id question_id, x.doc_id, x.score top, round(x.score - coalesce(y.score, 0), 6) margin from benchmark b left join r x on x.question_id = b.item_id and x.rank = 1 left join r y on y.question_id = b.item_id and y.rank = 2) select question_id, case when top is null or top < 0.65 then 'abstained' when margin < 0.05 then 'ambiguous' else 'confident' end outcome, case when top >= 0.65 then doc_id end doc_id, margin from a",
     "title_similarity": _LISTS + "select query_id, item_id, score, rank from k where rank <= 10",
-    "hybrid_search": _LISTS + ", j as (select query_id, item_id, round(1 / (60.0 + v.rank) + 1 / (60.0 + k.rank), 9) score, round(cast(0.7 as double) * v.score + cast(0.3 as double) * k.score, 8) blend from v join k using (query_id, item_id)) select * from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from j) where rank <= 5",
+    "hybrid_search": _LISTS + """, ids as (select doc_id id from documents intersect select vec_id from embeddings),
+kw as (select *, row_number() over (partition by query_id order by w desc, item_id) rk from (select q.id query_id, i.id item_id, coalesce(k0.score, 0) w from ids q join ids i on q.id % 50 = 0 and i.id <> q.id left join k0 on k0.query_id = q.id and k0.item_id = i.id)),
+vw as (select *, row_number() over (partition by query_id order by score desc, item_id) rv from v0 where query_id in (from ids) and item_id in (from ids)),
+j as (select query_id, item_id, round(1 / (60.0 + rv) + 1 / (60.0 + rk), 9) score, round(cast(0.7 as double) * vw.score + cast(0.3 as double) * w, 8) blend from vw join kw using (query_id, item_id)) select * from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from j) where rank <= 5""",
     "recency_search": _LISTS + ", b as (select query_id, item_id, round(cast(0.7 as double) * score + cast(0.3 as double) * percent_rank() over (partition by query_id order by item_id), 8) score from v) select * from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from b) where rank <= 5",
     "related_documents": _DOCS + ", t as (select corpus_id, id, unnest(list_distinct(tags)) tag from docs), n as (select a.id query_id, b.id, count(*) score from t a join t b on a.corpus_id = b.corpus_id and a.tag = b.tag and a.id <> b.id where a.id % 50 = 0 group by all) select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from n) where rank <= 5",
     "hash_embedding": "with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) token from documents), n as (select doc_id, cast(('0x' || left(sha256(token), 8)) as bigint) % 384 bucket, count(*) n from t group by all) select doc_id, bucket, round(n / sqrt(sum(n * n) over (partition by doc_id)), 6) weight from n",

@@ -5,7 +5,7 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import matching, retrieve
+from palimpsest.operators import matching, relevance, retrieve
 from palimpsest.operators.maintain import sample_stats
 
 
@@ -45,3 +45,23 @@ def test_selectors_of_many_requests(spark):
     d, r = spark.createDataFrame(docs, "id long, corpus_id string, document_type string, date int"), spark.createDataFrame(asked, "request_id long, corpus_id string, document_type string, since int, until int")
     want = sorted((q, i) for q, c, t, a, b in asked for i, dc, dt, day in docs if c in (None, dc) and t in (None, dt) and (a is None or (day is not None and day >= a)) and (b is None or (day is not None and day <= b)))
     assert sorted(map(tuple, matching.any_selectors(r, d).collect())) == want
+
+
+def test_fusion_is_of_whole_lists(spark):
+    rng = random.Random(11)
+    ids = sorted(rng.sample(range(400_000), 400))
+    asked = ids[::90]
+    vector = {(q, i): round(rng.choice((0.1, 0.2, rng.random())), 6) for q in asked for i in ids if i != q}
+    for share in (0.02, 0.6):  # a list shorter than what is looked at, and a long one
+        keyword = {p: round(1 - vector[p] if rng.random() < 0.5 else rng.random() / 2 + 0.01, 6) for p in vector if p[0] != asked[0] and rng.random() < share}
+        keyword = {p: w for p, w in keyword.items() if w > 0}
+        want = []
+        for q in asked:
+            mine = [i for i in ids if i != q]
+            rv = {i: n for n, i in enumerate(sorted(mine, key=lambda i: (-vector[q, i], i)), 1)}
+            rk = {i: n for n, i in enumerate(sorted(mine, key=lambda i: (-keyword.get((q, i), 0.0), i)), 1)}
+            score = {i: round(1 / (60 + rv[i]) + 1 / (60 + rk[i]), 9) for i in mine}
+            want += [(q, i, score[i], n) for n, i in enumerate(sorted(mine, key=lambda i: (-score[i], i))[:4], 1)]
+        v, w = (spark.createDataFrame([(*p, s) for p, s in x.items()], "query_id long, item_id long, score double") for x in (vector, keyword))
+        got = relevance.fuse(v, w, spark.createDataFrame([(i,) for i in ids], "item_id long"), 4).select("query_id", "item_id", "score", "rank")
+        assert rows(got) == sorted(want, key=repr)
