@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palimpsest.operators.extraction import FIELD, ITEM, PIPE, SEPARATOR, UNFINISHED
 
@@ -191,17 +192,22 @@ def chunks(text: str, limit: int = LIMIT) -> Iterator[tuple[str, str, str, int,
 
 
 def markdown_chunks(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, body -> CHUNK: start and end are offsets (code points) into the body; n_tokens is a fourth of the length."""
+    """doc_id, body -> CHUNK: start and end are offsets (code points) into the body; n_tokens is a fourth of the length.
+
+    Ids are numbers or strings, and stay what they are.
+    """
+    named = docs.schema["doc_id"].dataType == StringType()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("chunk_no", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int32())])
+        schema = pa.schema([("doc_id", pa.string() if named else pa.int64()), ("chunk_no", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int32())])
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = [(doc, i, *c, max(1, len(c[2]) // 4)) for i, c in enumerate(chunks(body, limit))] if body else []
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("body").cast("string")).mapInArrow(run, CHUNK)
+    kind = "string" if named else "long"
+    return docs.select(F.col("doc_id").cast(kind), F.col("body").cast("string")).mapInArrow(run, CHUNK.replace("doc_id long", f"doc_id {kind}"))
 
 
 def heading_chunks(docs: DataFrame, limit: int = LIMIT) -> DataFrame:

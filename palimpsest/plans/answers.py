@@ -34,7 +34,7 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    first = F.element_at(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), 1)
+    first = F.get(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), F.lit(0))
     titles = table(spark, d, "documents").select("doc_id", F.coalesce(F.substring(F.trim(first), 1, 120), F.lit("")).alias("text"))  # the title of a plain text
     return titles.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), titles.withColumnRenamed("doc_id", "item_id")
 
