@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import frontmatter, merges, statements
+from palimpsest.operators import frontmatter, merges, statements, texts
 from palimpsest.sources import directory
 
 
@@ -72,6 +72,14 @@ def test_formats(spark):
     assert empty.count() == none.count() == 0
 
 
+def test_json_is_read_to_its_end(spark):
+    bad = ['{"k": 1}!', '{"k": 1} {"l": 2}', "1, 2", "1], [2", "", " ", "{'k': 1}", '{"k": 1', '"a', '[1, "x"] x', None]
+    good = ['{"k": [1, {"l": "]"}]}', " 1 ", '"a, \\"b"', "[]", "null", "\n{}\n"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(bad + good)], "i int, x string")
+    got = [r[0] for r in df.select("i", texts.json_summary(F.col("x")).alias("s")).orderBy("i").select("s").collect()]
+    assert got == ["JSON document (unparseable)"] * len(bad) + ["JSON document with keys: k"] + ["JSON document"] * 5
+
+
 DAY = datetime.date(2024, 5, 6)
 ASK = "request_id long, corpus_id string, statement string, key string, scope string, state string, day date"
 
