@@ -55,8 +55,9 @@ ORACLES = {
     "conflict_closures": ARCHIVE_SQL.replace("with fx_ev", "with recursive fx_ev", 1)
     + """, m as materialized (select claim_id, s || '/' || corpus_id || '/' || key || '/' || cast(floor((val + s) / 10) as bigint) k from c, (select unnest([0, 5]) s) x),
 pr as materialized (select distinct a.claim_id a, b.claim_id b from m a join m b using (k) where a.claim_id <> b.claim_id),
-w(request_id, claim_id, n) as (select claim_id, claim_id, 0 from c where doc_id % 50 = 0 union select request_id, b, n + 1 from w join pr on a = claim_id where n < 12)
-select request_id, claim_id, min(n) as round from w group by 1, 2""",
+w(request_id, claim_id, n) using key (request_id, claim_id) as (select claim_id, claim_id, 0 from c where doc_id % 50 = 0
+ union select w.request_id, b, min(w.n) + 1 from w join pr on a = w.claim_id left join recurring.w o on o.request_id = w.request_id and o.claim_id = b where o.n is null group by w.request_id, b)
+select request_id, claim_id, n as round from w""",
     "ingest_order": EDGES_SQL.replace("with fx_ev", "with recursive fx_ev", 1)
     + """, ed as materialized (select distinct b.doc_id before, a.doc_id after from cx a join cx b on b.claim_id = a.supersedes_id where a.basis = 'topic_key' and not (a.doc_id % 2 = 1 and a.val % 2 = 0) and (b.doc_id % 2 = 1 or a.doc_id % 2 = 0) and a.doc_id <> b.doc_id),
 nd as materialized (select distinct doc_id id from v),

@@ -1,10 +1,13 @@
 """Closures, peeling, circles and whole answers on small cases against plain Python."""
 
+import datetime
 import random
 
+import duckdb
 import pytest
 
 from palimpsest.operators import closures, projection
+from palimpsest.plans import projected
 
 
 def rows(df):
@@ -72,3 +75,13 @@ def test_whole_answers(spark):
     assert got[3]["state"] == "current" and got[3]["conflicts"] == [] and [(x["claim_id"], len(x["evidence"])) for x in got[3]["documents"][0]["current"]] == [("c", 0), ("d", 1)]
     assert got[4]["state"] == "current" and [x["claim_id"] for x in got[4]["documents"][0]["current"]] == ["a"]
     assert got[5] == got[6] == {"state": "unknown", "documents": [], "conflicts": [], "sources": []}
+
+
+def test_closures_and_their_sql_follow_long_chains(spark, tmp_path):
+    """One key's values by fives: every claim conflicts with its neighbours only, nineteen rounds from end to end."""
+    rows = [(i, datetime.datetime(2024, 1, 1 + i), 0, "click", 1.0, f'{{"k": {5 * i}}}') for i in range(20)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    d = duckdb.connect()
+    d.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(map(tuple, projected.conflict_closures(spark, str(tmp_path)).select("request_id", "claim_id", "round").collect()))
+    assert got == sorted(d.sql(projected.ORACLES["conflict_closures"]).fetchall()) and len(got) == 400 and max(r[2] for r in got) == 19
