@@ -156,7 +156,7 @@ ORACLES = {
  case when n % 8 = 1 and v % 3 = 0 and kind = 'claim' then txt || '!' else txt end txt, val, version_id, case when n % 8 = 4 and v % 3 = 0 and kind = 'claim' then 'CURRENT' else status end status, path, case when n % 8 = 3 and v % 3 = 0 then not in_force else in_force end in_force
  from ln where not (n % 8 = 5 and v % 3 = 0 and kind = 'successor')),
 hx as materialized (select pack_id, key, n, case when pack_id = 'c3' then sha256(pack_digest) else pack_digest end pack_digest, valid_at, case when n % 8 = 7 then '{EARLY}' else as_of end as_of from hd)
-{_chain("lx", "hx", "px")}, fl as (select pack_id, key, any_value(n) n, bool_or(val % 3 = 0) hit, bool_or(val % 3 = 0 and status <> 'CURRENT') other, bool_or(val % 3 = 0 and claim_id in (select supersedes_id from pc)) replaced, bool_or(observed_at > timestamp '{EARLY}') late from pc group by 1, 2),
+{_chain("lx", "hx", "px")}, fl as (select pack_id, key, any_value(n) n, bool_or(val % 3 = 0) hit, bool_or(val % 3 = 0 and status <> 'CURRENT') other, bool_or(val % 3 = 0 and claim_id in (select supersedes_id from pc where supersedes_id is not null)) replaced, bool_or(observed_at > timestamp '{EARLY}') late from pc group by 1, 2),
 ck as (select pack_id, key, (n // 8) % 2 = 1 or n % 8 = 7 or px.digest = pr.digest intact, pack_id <> 'c3' artifact, not (n % 8 = 6 and hit) identity, not (n % 8 = 1 and hit) content, not (n % 8 = 2 and hit) evidence,
  not (n % 8 = 3 and hit) in_force, not (n % 8 = 7 and late) observed, not (n % 8 = 4 and other) and not (n % 8 = 5 and replaced) lineage from fl join px using (pack_id, key) join pr using (pack_id, key))
 select *, concat_ws(',', {", ".join(f"case when not {c} then '{c}' end" for c in proofs.CHECKS)}) failed, failed = '' verified from ck""",

@@ -1,10 +1,14 @@
 """Packs, proofs and receipts on a small pack with a chain, a fork and missing fields."""
 
+import datetime
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.durable import durable
 from palimpsest.operators import proofs
+from palimpsest.plans import proved
 
 AT, AS_OF = "2024-01-05", "2024-01-10 00:00:00"
 
@@ -80,3 +84,14 @@ def test_receipts_answer_by_tiers(spark, pack, made):
     bundles = proofs.pack_digests(*pack).where("pack_id is not null").withColumnRenamed("digest", "pack_digest").join(queries, "pack_id").select("pack_id", "pack_digest", F.sha2("query", 256).alias("query_digest"))
     got = {x.pack_id: (x.receipts_checked, x.n_failed, x.verified) for x in proofs.verify_bundles(bundles, ok, *pack, queries).collect()}
     assert got == {"p": (1, 0, True), "q": (1, 1, False)}
+
+
+def test_checks_and_their_sql_of_a_key_without_a_replaced_claim(spark, tmp_path):
+    """A single claim of a key that loses its successors, of which it has none: its lineage holds, it is not unknown."""
+    rows = [(1, datetime.datetime(2024, 1, 2), 40, "click", 1.0, '{"k": 3}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    d = duckdb.connect()
+    d.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = d.sql(f"select pack_id, key, lineage, failed, verified from ({proved.ORACLES['proof_checks']})").fetchall()
+    got = proved.proof_checks(spark, str(tmp_path)).select("pack_id", "key", "lineage", "failed", "verified")
+    assert list(map(tuple, got.collect())) == want == [("c0", "click.5", True, "", True)]
