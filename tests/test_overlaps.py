@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import overlaps
+from palimpsest.operators import matching, overlaps
 
 FLOOR = 0.3
 
@@ -66,3 +66,11 @@ def test_places(spark, case, by_score):
     want = {(q, p[1]): n for q in {p[0] for p in pairs} for n, p in enumerate(sorted(of(pairs, q), key=order), 1) if n % 3 == 0}
     asked = spark.createDataFrame(list(want), "request_id long, item_id string")
     assert {(r.request_id, r.item_id): r["rank"] for r in overlaps.places(x, FLOOR, asked, rows, by_score).collect()} == want
+
+
+def test_candidates_of_the_rarest_term_and_of_a_share_each(spark):
+    asked = spark.createDataFrame([(1, "c", ["user", "n1"], 1.0), (2, "c", ["user", "n9"], 0.3), (3, "c", ["n1", "n2", "user"], 0.65)], "request_id long, corpus_id string, terms array<string>, least double")
+    items = spark.createDataFrame([(i, "c", ["user", f"n{i}"]) for i in range(5)], "item_id long, corpus_id string, said array<string>")
+    pairs = lambda share: {tuple(r) for r in matching.candidates(asked, items, "said", share).collect()}
+    assert pairs(None) == {(1, 1), (3, 1)} | {(2, i) for i in range(5)}
+    assert pairs(F.col("least")) == {(1, 1), (3, 1), (3, 2)} | {(2, i) for i in range(5)}
