@@ -178,16 +178,17 @@ def rerank(fetched: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return shortlist(fetched.select("query_id", "item_id").join(scores, ["query_id", "item_id"]), "query_id", "item_id", k)
 
 
-def compare_strategies(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def compare_strategies(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int, total: DataFrame | None = None) -> DataFrame:
     """Means per strategy: recall and MRR over queries with an answer, precision over all, to six places.
 
-    ranked: strategy, query_id, item_id, rank; relevant: query_id, item_id; queries: query_id, negative. A negative query has no
+    ranked: strategy, query_id, item_id, rank; relevant: query_id, item_id; queries: query_id, negative; with total (query_id,
+    n) relevant may leave out what is not ranked. A negative query has no
     relevant item, so whatever it returns lowers the precision; one that returns nothing scores a precision of 0.
     """
     hits = ranked.where(F.col("rank") <= k).join(relevant.withColumn("hit", F.lit(1)), ["query_id", "item_id"], "left").join(queries, "query_id")
     hit = F.when(F.col("negative"), 0).otherwise(F.coalesce("hit", F.lit(0)))
     per = hits.groupBy("strategy", "query_id").agg(F.sum(hit).alias("h"), F.count("*").alias("r"), F.min(F.when(hit == 1, F.col("rank"))).alias("first"))
-    size = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
+    size = relevant.groupBy("query_id").agg(F.count("*").alias("n")) if total is None else total
     n = queries.agg(F.count("*").alias("all"), F.count_if(~F.col("negative")).alias("positive")).first()
     per = per.join(size, "query_id", "left").join(queries, "query_id")
     recall = F.sum(F.when(~F.col("negative"), F.col("h") / F.greatest("n", F.lit(1))))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import blocks
+
 BROADCAST_QUERIES = 20_000
 
 
@@ -24,15 +26,31 @@ def scored_pairs(queries: DataFrame, items: DataFrame) -> DataFrame:
     return items.select("item_id", F.col("vector").alias("_v")).join(q, F.col("item_id") != F.col("query_id")).select("query_id", "item_id", F.round(dot("_q", "_v"), 6).alias("score"))
 
 
+def whole(vector: str) -> Column:
+    """The vector, null where a component is."""
+    return F.when(~F.exists(vector, lambda x: x.isNull()), F.col(vector))
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """The k nearest other items of each query, ties by item_id."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return scored_pairs(queries, items).withColumn("rank", rank).where(F.col("rank") <= k)
+    """The k nearest other items of each query, ties by item_id; pairs are scored in blocks and never stored."""
+    feature = whole("vector").alias("feature")
+    return blocks.nearest(queries.select("query_id", feature), items.select("item_id", feature), k, blocks.dots)
+
+
+def labelled(ranked: DataFrame, queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, label) x (item_id, label) -> the ranked pairs of one label, and (query_id, n): how many other items have it.
+
+    An item is relevant to a query of its label; those are counted by label, not listed.
+    """
+    pairs = ranked.select("query_id", "item_id").join(queries, "query_id").join(items, ["item_id", "label"]).select("query_id", "item_id")
+    own = items.groupBy(F.col("item_id").alias("query_id"), "label").agg(F.count("*").alias("_own"))
+    n = queries.join(items.groupBy("label").agg(F.count("*").alias("_all")), "label").join(own, ["query_id", "label"], "left")
+    return pairs, n.select("query_id", (F.col("_all") - F.coalesce("_own", F.lit(0))).alias("n")).where("n > 0")
 
 
-def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """Per query: recall@k, precision@k, reciprocal rank and binary nDCG@k."""
-    total = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
+def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int, total: DataFrame | None = None) -> DataFrame:
+    """Per query: recall@k, precision@k, reciprocal rank and binary nDCG@k; with total (query_id, n) relevant may leave out what is not ranked."""
+    total = relevant.groupBy("query_id").agg(F.count("*").alias("n")) if total is None else total
     hits = ranked.where(F.col("rank") <= k).join(relevant.withColumn("hit", F.lit(1)), ["query_id", "item_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     per = hits.groupBy("query_id").agg(F.sum("hit").alias("h"), F.count("*").alias("r"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.col("hit") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.durable import durable
 from palimpsest.operators import gates, matching, retrieve, state
 from palimpsest.plans.maintenance import ORACLES as MAINTENANCE, active_claims
 from palimpsest.plans.matching import ORACLES as MATCHING, _requests, pick, pick_sql
-from palimpsest.plans.registry import _DOCS, _KNN, _resolved, _vectors, ARCHIVE_SQL, NOW, status_sql
+from palimpsest.plans.registry import _DOCS, _KNN, _labelled, _resolved, _vectors, ARCHIVE_SQL, NOW, status_sql
 from palimpsest.sources import archive
 from palimpsest.sources.archive import table
 
@@ -95,8 +96,7 @@ def explicit_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
-    q, items, _ = _vectors(spark, d)
-    return retrieve.top_k(q, items, k)
+    return retrieve.top_k(*_vectors(spark, d), k)
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_active(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest active items; items are taken out before the search, not after it."""
-    q, items, _ = _vectors(spark, d)
+    q, items = _vectors(spark, d)
     return retrieve.top_k(q, items.where("item_id % 3 <> 0"), 5)
 
 
@@ -126,11 +126,11 @@ def shortlisted_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def strategies(spark: SparkSession, d: str) -> DataFrame:
     """Nearest by vector against the same ones in reverse; every third query is negative."""
-    _, _, relevant = _vectors(spark, d)
-    near = _ranked(spark, d, 10).select("query_id", "item_id", "rank")
+    near = durable(_ranked(spark, d, 10).select("query_id", "item_id", "rank"))
+    relevant, total = _labelled(spark, d, near)
     both = near.select(F.lit("vector").alias("strategy"), "*").union(near.select(F.lit("reverse"), "query_id", "item_id", 11 - F.col("rank")))
     queries = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % 150 == 0).alias("negative"))
-    return gates.compare_strategies(both, relevant, queries, 5)
+    return gates.compare_strategies(both, relevant, queries, 5, total)
 
 
 def heldout(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.durable import durable
 from palimpsest.operators import retrieve, state
 from palimpsest.sources import archive
 from palimpsest.sources.archive import table
@@ -189,21 +190,25 @@ def text_availability(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.containing(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
 
 
-def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
-    q, items = e.where("vec_id % 50 = 0"), e
-    relevant = q.select(F.col("vec_id").alias("query_id"), "label").join(items.select(F.col("vec_id").alias("item_id"), "label"), "label").where("query_id <> item_id").select("query_id", "item_id")
-    return q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), relevant
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+
+
+def _labelled(spark: SparkSession, d: str, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Relevant to a query is what has its label."""
+    e = table(spark, d, "embeddings")
+    return retrieve.labelled(ranked, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label"), e.select(F.col("vec_id").alias("item_id"), "label"))
 
 
 def knn(spark: SparkSession, d: str) -> DataFrame:
-    q, items, _ = _vectors(spark, d)
-    return retrieve.top_k(q, items, 5)
+    return retrieve.top_k(*_vectors(spark, d), 5)
 
 
 def knn_metrics(spark: SparkSession, d: str) -> DataFrame:
-    q, items, relevant = _vectors(spark, d)
-    return retrieve.retrieval_metrics(retrieve.top_k(q, items, 10), relevant, 10)
+    ranked = durable(retrieve.top_k(*_vectors(spark, d), 10))
+    relevant, total = _labelled(spark, d, ranked)
+    return retrieve.retrieval_metrics(ranked, relevant, 10, total)
 
 
 def latency_p95(spark: SparkSession, d: str) -> DataFrame:
