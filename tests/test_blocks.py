@@ -52,3 +52,24 @@ def test_relevant_items_are_counted_by_label(spark):
     every = queries.join(items, "label").where("query_id <> item_id").select("query_id", "item_id")
     pairs, total = retrieve.labelled(ranked, queries, items)
     assert rows(retrieve.retrieval_metrics(ranked, pairs, 5, total)) == rows(retrieve.retrieval_metrics(ranked, every, 5))
+
+
+def test_nearest_sets_equal_all_pairs(spark, tiny_cells):
+    rng = random.Random(8)
+    words = ["alpha", "beta", "a", "b1", "gamma delta", "é", "Zeta", "x" * 40]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 6))) for _ in range(120)] + ["", None, "...", " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(280))]
+    items = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "item_id long, text string")
+    asked = items.where("item_id % 2 = 0 or item_id > 350").withColumnRenamed("item_id", "query_id")
+    sets = relevance.gram_sets(asked), relevance.gram_sets(items)
+    for k in (1, 4, 300):
+        want = relevance.best(relevance.trigram_scores(asked, items).where("query_id <> item_id"), "query_id", "item_id", k)
+        assert rows(blocks.nearest(*sets, k, blocks.common_share, positive=True)) == rows(want)
+    assert rows(blocks.nearest(sets[0], sets[1].where("false"), 2, blocks.common_share, positive=True)) == []
+
+
+def test_shares_are_rounded_half_up(spark):
+    """1 / 128 is 0.0078125."""
+    texts = spark.createDataFrame([(0, "ab " + "c" * 3), (1, "ab"), (2, "abcdefghijklmnopqrstuvwxyz0123456789 ab")], "item_id long, text string")
+    got = blocks.common_share(*(relevance.gram_sets(texts).toPandas()["feature"] for _ in range(2)))(0, 3)
+    assert blocks.rounded(blocks.np.array([[1 / 128, 3 / 128]]), 0.0, lambda at: blocks.np.array([1 / 128, 3 / 128])[at]).tolist() == [[0.007813, 0.023438]]
+    assert [got[i, i] for i in range(3)] == [1.0] * 3
