@@ -73,3 +73,30 @@ def test_shares_are_rounded_half_up(spark):
     got = blocks.common_share(*(relevance.gram_sets(texts).toPandas()["feature"] for _ in range(2)))(0, 3)
     assert blocks.rounded(blocks.np.array([[1 / 128, 3 / 128]]), 0.0, lambda at: blocks.np.array([1 / 128, 3 / 128])[at]).tolist() == [[0.007813, 0.023438]]
     assert [got[i, i] for i in range(3)] == [1.0] * 3
+
+
+def test_fusion_in_blocks_equals_fusion_of_stored_lists(spark, tiny_cells):
+    rng = random.Random(9)
+    ids = sorted(rng.sample(range(100_000), 230))
+    vectors = [[rng.choice((0.0, 0.25, 0.5, rng.random())) for _ in range(3)] for _ in ids]
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "qq", "zzz"], k=rng.choice((0, 1, 2, 2, 3)))) for _ in ids]
+    v, t = spark.createDataFrame(list(zip(ids, vectors)), "item_id long, vector array<float>"), spark.createDataFrame(list(zip(ids, texts)), "item_id long, text string")
+    (vq, tq), items = (x.where(F.col("item_id").isin(ids[::17])).withColumnRenamed("item_id", "query_id") for x in (v, t)), v.select("item_id")
+    want = relevance.fuse(retrieve.scored_pairs(vq, v), relevance.trigram_scores(tq, t).where("query_id <> item_id"), items, 2)
+    got = relevance.fuse_blocks((vq.withColumnRenamed("vector", "feature"), v.withColumnRenamed("vector", "feature")), (relevance.gram_sets(tq), relevance.gram_sets(t)), items, 2)
+    assert rows(got) == rows(want)
+
+
+def test_places_equal_sorted_lists(spark, tiny_cells):
+    """With NaN, infinite and null scores, and ties."""
+    rng = random.Random(10)
+    vectors = [[rng.choice((0.5, 1.0, 2.0)), rng.choice((0.0, 1.0))] for _ in range(70)] + [None, [1.0], [math.nan, 1.0], [math.inf, 0.0], [-math.inf, 1.0], [None, 1.0], [2e9, 1.0]]
+    items = spark.createDataFrame([(i * 7 % 101, v) for i, v in enumerate(vectors)], "item_id long, vector array<float>")
+    asked = items.where("item_id % 4 = 0").withColumnRenamed("item_id", "query_id")
+    scores = retrieve.scored_pairs(asked, items)
+    order = relevance.Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    want = scores.select("query_id", "item_id", (F.row_number().over(order) - 1).cast("long").alias("n"))
+    both = [x.select(x.columns[0], retrieve.whole("vector").alias("feature")) for x in (asked, items)]
+    found = blocks.scores_of(*both, scores.select("query_id", "item_id"), blocks.dots)
+    assert rows(found) == rows(scores)
+    assert rows(blocks.places(*both, found, blocks.dots).drop("held")) == rows(want)
