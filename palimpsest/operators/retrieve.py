@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.durable import durable
 from palimpsest.operators import blocks
 
 BROADCAST_QUERIES = 20_000
@@ -79,7 +80,8 @@ def values_at(rows: DataFrame, by: str, value: str, places: Callable[[Column], C
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
     cuts = F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], 1000)
-    span = counts.groupBy(F.col(by).alias("_by")).agg(F.sum("c").alias("n"), cuts.alias("_cuts"))
+    # cut off: a sketch depends on the order in which its parts arrive, so two evaluations may differ, and both uses need the same
+    span = durable(counts.groupBy(F.col(by).alias("_by")).agg(F.sum("c").alias("n"), cuts.alias("_cuts")))
     binned = counts.join(span, F.col(by).eqNullSafe(F.col("_by"))).select(by, value, "c", "n", F.size(F.filter("_cuts", lambda x: x < F.col(value))).alias("_bin"))
     before = F.sum("_c").over(Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = binned.groupBy(by, "n", "_bin").agg(F.sum("c").alias("_c")).withColumn("_before", F.coalesce(before, F.lit(0)))
