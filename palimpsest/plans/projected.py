@@ -22,15 +22,14 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("request_id"), F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("corpus_id"), at.alias("as_of"), path.alias("path"))
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
+def projected_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers are digested once for each scope, and only the digests go to its requests."""
     v = archive.versions(spark, d)
     c = archive.claims(v)
     e = archive.evidence(c).select("claim_id", F.col("start_offset").cast("int").alias("start_offset"), F.col("end_offset").cast("int").alias("end_offset"))
-    return projection.project(_asked(spark, d), v, c, e)
-
-
-def projected_answers(spark: SparkSession, d: str) -> DataFrame:
-    return _answers(spark, d).select("request_id", F.col("answer.state").alias("state"), F.size("answer.documents").alias("n_documents"), F.size("answer.conflicts").alias("n_conflicts"), F.sha2(F.to_json("answer"), 256).alias("digest"))
+    asked = _asked(spark, d)
+    found = projection.answers(asked, v, c, e).select(*projection.SCOPE, F.col("answer.state").alias("state"), F.size("answer.documents").alias("n_documents"), F.size("answer.conflicts").alias("n_conflicts"), F.sha2(F.to_json("answer"), 256).alias("digest"))
+    return projection.to_requests(asked, found)
 
 
 def conflict_closures(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import closures, projection
 from palimpsest.plans import projected
@@ -85,3 +86,15 @@ def test_closures_and_their_sql_follow_long_chains(spark, tmp_path):
     d.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     got = sorted(map(tuple, projected.conflict_closures(spark, str(tmp_path)).select("request_id", "claim_id", "round").collect()))
     assert got == sorted(d.sql(projected.ORACLES["conflict_closures"]).fetchall()) and len(got) == 400 and max(r[2] for r in got) == 19
+
+
+def test_answers_are_one_a_scope(spark):
+    """Many requests for one scope share its answer, which is digested before it is copied."""
+    v = spark.createDataFrame([("c0", 1, 10, 1, "NEW", 1)], "corpus_id string, doc_id long, version_id long, version_number int, event string, observed_at int").withColumn("observed_at", F.timestamp_seconds("observed_at"))
+    c = spark.createDataFrame([("a", "c0", 1, "p", "k", 5, 10, 1)], "claim_id string, corpus_id string, doc_id long, path string, key string, val int, version_id long, observed_at int")
+    c = c.withColumns({"observed_at": F.timestamp_seconds("observed_at"), "supersedes_id": F.lit(None).cast("string"), "valid_from": F.lit(None).cast("timestamp"), "valid_until": F.lit(None).cast("timestamp")})
+    e = spark.createDataFrame([("a", 0, 1)], "claim_id string, start_offset int, end_offset int")
+    asked = spark.range(100).select(F.col("id").alias("request_id"), F.lit("c0").alias("corpus_id"), F.timestamp_seconds(F.lit(9)).alias("as_of"), F.when(F.col("id") % 2 == 0, "p").alias("path"))
+    found = projection.answers(asked, v, c, e)
+    assert sorted((r.path, r.answer.state, len(r.answer.documents)) for r in found.collect()) == [("", "current", 1), ("p", "current", 1)]
+    assert projection.to_requests(asked, found.select(*projection.SCOPE, "answer.state")).groupBy("state").count().collect() == [("current", 100)]
