@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.durable import durable
 from palimpsest.operators import chunking, extraction, frontmatter
 from palimpsest.plans.matching import pick, pick_sql
 from palimpsest.sources.archive import table
@@ -46,13 +47,13 @@ def markdown_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def markdown_claims(spark: SparkSession, d: str) -> DataFrame:
     """Statements and rows with their keys, the first of equal ones under a heading."""
-    return extraction.structural_claims(_scanned(spark, d)).select("doc_id", "line_no", "key")
+    return extraction.structural_claims(durable(_scanned(spark, d))).select("doc_id", "line_no", "key")
 
 
 def markdown_prose(spark: SparkSession, d: str) -> DataFrame:
     """Rules in the prose of documents without other claims, and how many sentences of each said none."""
-    lines = _scanned(spark, d)
-    sentences = extraction.prose_sentences(lines, extraction.structural_claims(lines))
+    lines = durable(_scanned(spark, d))
+    sentences = durable(extraction.prose_sentences(lines, extraction.any_claims(lines)))
     rules = extraction.prose_claims(sentences).groupBy("doc_id").agg(F.count("*").alias("rules"), F.sum(F.length("claim")).alias("chars"), F.max("key").alias("key"))
     return rules.join(extraction.skipped(sentences), "doc_id", "full").select("doc_id", F.coalesce("rules", F.lit(0)).alias("rules"), F.coalesce("chars", F.lit(0)).alias("chars"), "key", F.coalesce("skipped", F.lit(0)).alias("skipped"))
 

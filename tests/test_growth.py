@@ -1,8 +1,12 @@
 """What grows with the input alone: rows that steps make, and results that stay as they were."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import select
+from palimpsest.operators import extraction, select
+from palimpsest.plans import markdown
+
+from .conftest import SF
 
 
 def most_rows(df):
@@ -26,3 +30,25 @@ def test_references_do_not_meet_all_claims_of_a_shared_name(spark):
     out, most = most_rows(select.resolve_references(spark.range(n).select(F.col("id").alias("ref_id"), F.lit("x").alias("corpus_id"), kind.alias("kind"), ref.alias("ref")), c))
     assert {(r.ref_id % 4, r.n, r.outcome, r.claim_id) for r in out} == {(0, n, "ambiguous", None), (1, n, "ambiguous", None), (2, n // 2, "ambiguous", None), (3, 1, "resolved", "i0007")}
     assert len(out) == n and most <= 6 * n
+
+
+def scans(df):
+    """How often a query's plan reads its tables, after what it has stored by then."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("FileScan")
+
+
+@pytest.mark.parametrize("name", ["markdown_prose"])
+def test_lines_are_scanned_once(spark, name):
+    assert scans(getattr(markdown, name)(spark, SF)) == 0
+
+
+def test_lines_by_their_first_character(spark):
+    """Guards that spare patterns take the same lines as the patterns by themselves."""
+    odd = ["", " ", "\t", "\x0b\f", "| a", " \t| a", "\u00a0| a", "---", "  ***", "    ___", "-- -", "[x]: y", " [x]:", "```", "   ~~~", "    ~~~", "    code", "\tcode", "   text", "# h", "#h", " # h", "####### h", "a b", "9. x"]
+    x = extraction.scanned(extraction.body_lines(spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, body string")))
+    line = F.col("line")
+    want = F.when(line.rlike(extraction.FENCE) | line.rlike(extraction.RULE) | line.rlike(extraction.DEFINITION) | line.rlike(extraction.PIPE) | line.rlike(extraction.CODE), "block").when(line.rlike(extraction.HEADING), "heading").when(line.rlike(r"^\s*$"), "blank").otherwise("prose")
+    assert x.where(F.col("kind") != want).collect() == [] and x.count() == len(odd)
+    words = spark.createDataFrame([("",), ("one",), ("one two. ",), ("12 The\n",), ("é of é",), ("the 7\n7",), ("OF",), ("7",)], "t string")
+    assert [r[0] for r in words.select(extraction.last_word(F.col("t"))).collect()] == ["", "one", "two", "the", "of", "the", "of", ""]
+    assert [r.line for r in extraction.body_lines(spark.createDataFrame([(1, "a\r\nb\rc\n<!-- x\n -->d\r")], "doc_id long, body string")).orderBy("line_no").collect()] == ["a", "b", "c", "d", ""]
