@@ -8,12 +8,16 @@ its body. This is no YAML: anchors, tags and several documents are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.texts import strip
 
 UNREADABLE, NO_TITLE, INVALID, NO_LIST = "frontmatter_unparseable", "frontmatter_missing_title", "frontmatter_invalid_field", "claims_not_a_list"
+_MARK = "---[ \\t\\x0b\\f\\r]*[\\u0085\\u2028\\u2029]?"  # a line of it, with white space after
+FRONT = rf"(?s)\A{_MARK}((?:\n.*?)??)\r?\n{_MARK}(?:\n|\z)"  # the text up to the end of the second mark, read no further
 KEY, ENTRY, BLANK = r"^([A-Za-z_][A-Za-z0-9_-]*):(?:\s+(.*?))?\s*$", r"^\s*-(?:\s+(.*?))?\s*$", r"^\s*(#.*)?$"
 # Fields that hold text, in the order in which they are checked, and words that are no text.
 TEXT_FIELDS = ("title", "date", "tags", "document_type", "competition", "status", "git_repo", "notebook", "summary")
@@ -24,11 +28,12 @@ DAY = r"^[\"']?\d{4}-\d{2}-\d{2}[\"']?$"
 
 def split_documents(docs: DataFrame) -> DataFrame:
     """doc_id, raw -> doc_id, raw, block (lines between the marks; null where there is none), rest (what follows)."""
-    lines = F.split("raw", r"\r\n|\n", -1)
-    marks = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^---\s*$"), i)), lambda i: i.isNotNull())
-    second = F.get(marks, F.lit(1))
-    there = (F.get(marks, F.lit(0)) == 0) & second.isNotNull()
-    return docs.select("doc_id", "raw", F.when(there, F.slice(lines, 2, second - 1)).alias("block"), F.when(there, F.array_join(F.slice(lines, second + 2, F.size(lines)), "\n")).alias("rest"))
+    head = F.regexp_extract("raw", FRONT, 0)
+    there = head != ""
+    between = F.regexp_extract("raw", FRONT, 1)  # with the line end before it; empty where the marks are next to each other
+    block = F.when(between == "", F.array().cast("array<string>")).otherwise(F.split(F.substr(between, F.lit(2)), r"\r\n|\n", -1))
+    rest = F.replace(F.substr("raw", F.length(head) + 1), F.lit("\r\n"), F.lit("\n"))
+    return docs.select("doc_id", "raw", F.when(there, block).alias("block"), F.when(there, rest).alias("rest"))
 
 
 def block_lines(parts: DataFrame) -> DataFrame:
@@ -65,17 +70,21 @@ def titles(parts: DataFrame, found: DataFrame) -> DataFrame:
     written = found.where((F.col("field") == "title") & ~F.col("value").isin("", '""', "''", "~", "null")).select("doc_id", unquoted(F.col("value")).alias("written"), (F.col("value").rlike(NO_TEXT) | F.col("items").isNotNull()).alias("odd"))
     heading = F.regexp_extract(F.concat(F.lit("\n"), "rest"), r"\n[ \t]*#[ \t]+([^\n]+?)[ \t]*#*[ \t]*(\n|$)", 1)
     has = found.select("doc_id").distinct()
-    return parts.join(has, "doc_id", "left_semi").select("doc_id", heading.alias("heading")).join(written, "doc_id", "left").select("doc_id", F.coalesce("written", F.nullif("heading", F.lit(""))).alias("title"), F.coalesce("odd", F.lit(False)).alias("odd"))
+    return parts.select("doc_id", heading.alias("heading")).join(has, "doc_id", "left_semi").join(written, "doc_id", "left").select("doc_id", F.coalesce("written", F.nullif("heading", F.lit(""))).alias("title"), F.coalesce("odd", F.lit(False)).alias("odd"))
+
 
+def documents(docs: DataFrame, body_as: Callable[[Column], Column] = lambda body: body) -> DataFrame:
+    """doc_id, raw -> doc_id, title, keys (in order of writing), body.
 
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, raw -> doc_id, title, keys (in order of writing), body."""
+    body_as is taken of the bodies before they are shuffled: a digest spares that of whole texts.
+    """
     parts = split_documents(docs)
     found = fields(block_lines(parts))
     keys = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "field"))), lambda k: k["field"]).alias("keys"))
-    body = F.when(F.col("rest").isNotNull() & ~F.coalesce("unreadable", F.lit(False)), F.col("rest")).otherwise(F.col("raw"))
+    bodies = parts.select("doc_id", F.when(F.col("rest").isNotNull(), body_as(strip(F.col("rest")))).alias("_rest"), body_as(strip(F.col("raw"))).alias("_raw"), F.col("rest").isNotNull().alias("_cut"))
+    body = F.when(F.col("_cut") & ~F.coalesce("unreadable", F.lit(False)), F.col("_rest")).otherwise(F.col("_raw"))
     unreadable = block_lines(parts).where("bad").select("doc_id", F.lit(True).alias("unreadable")).distinct()
-    return parts.join(keys, "doc_id", "left").join(titles(parts, found).drop("odd"), "doc_id", "left").join(unreadable, "doc_id", "left").select("doc_id", "title", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), strip(body).alias("body"))
+    return bodies.join(keys, "doc_id", "left").join(titles(parts, found).drop("odd"), "doc_id", "left").join(unreadable, "doc_id", "left").select("doc_id", "title", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), body.alias("body"))
 
 
 def warnings(docs: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frontmatter_documents(spark: SparkSession, d: str) -> DataFrame:
-    return frontmatter.documents(_raw(spark, d)).select("doc_id", "title", F.size("keys").alias("n_keys"), F.sha2("body", 256).alias("body"))
+    return frontmatter.documents(_raw(spark, d), lambda body: F.sha2(body, 256)).select("doc_id", "title", F.size("keys").alias("n_keys"), "body")
 
 
 def frontmatter_warnings(spark: SparkSession, d: str) -> DataFrame:

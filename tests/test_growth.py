@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import extraction, select
+from palimpsest.operators import extraction, frontmatter, select
 from palimpsest.plans import markdown
 
 from .conftest import SF
@@ -52,3 +52,20 @@ def test_lines_by_their_first_character(spark):
     words = spark.createDataFrame([("",), ("one",), ("one two. ",), ("12 The\n",), ("é of é",), ("the 7\n7",), ("OF",), ("7",)], "t string")
     assert [r[0] for r in words.select(extraction.last_word(F.col("t"))).collect()] == ["", "one", "two", "the", "of", "the", "of", ""]
     assert [r.line for r in extraction.body_lines(spark.createDataFrame([(1, "a\r\nb\rc\n<!-- x\n -->d\r")], "doc_id long, body string")).orderBy("line_no").collect()] == ["a", "b", "c", "d", ""]
+
+
+def test_fronts_end_where_their_second_mark_does(spark):
+    """The block and what follows, as splitting all lines gives them."""
+    odd = ["", "---", "---\n---", "---\n---\n", "---\n\n---\nx", "---\na: 1\n---", "---\r\na: 1\r\nb\r\r\n--- \t\r\nx\r\ny\rz\n---\n", "--- \na\n ---\n---x\n---\n\n", "x\n---\na\n---\n", "---\na: 1\n", "----\na\n---\n", "--- \na\n---\u0085\nb", "---\n---\n---\nc", "---\n\r\n---\n", None]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, raw string")
+    lines = F.split("raw", r"\r\n|\n", -1)
+    marks = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^---\s*$"), i)), lambda i: i.isNotNull())
+    second = F.get(marks, F.lit(1))
+    there = (F.get(marks, F.lit(0)) == 0) & second.isNotNull()
+    want = docs.select("doc_id", "raw", F.when(there, F.slice(lines, 2, second - 1)).alias("block"), F.when(there, F.array_join(F.slice(lines, second + 2, F.size(lines)), "\n")).alias("rest"))
+    assert sorted(map(tuple, frontmatter.split_documents(docs).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_digests_of_bodies_are_taken_before_texts_are_shuffled(spark):
+    plan = markdown.frontmatter_documents(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan.split("Join")[0]
