@@ -37,7 +37,7 @@ def scans(df):
     return df._jdf.queryExecution().sparkPlan().toString().count("FileScan")
 
 
-@pytest.mark.parametrize("name", ["markdown_prose"])
+@pytest.mark.parametrize("name", ["markdown_prose", "markdown_claims"])
 def test_lines_are_scanned_once(spark, name):
     assert scans(getattr(markdown, name)(spark, SF)) == 0
 
