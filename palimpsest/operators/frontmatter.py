@@ -26,14 +26,23 @@ OPEN = r"""^("[^"]*|'[^']*|\[[^\]]*|\{[^}]*|[@`%&*!|>].*)$"""
 DAY = r"^[\"']?\d{4}-\d{2}-\d{2}[\"']?$"
 
 
+def rest() -> Column:
+    """What follows the block of a raw text that has one."""
+    return F.replace(F.substr("raw", F.length(F.regexp_extract("raw", FRONT, 0)) + 1), F.lit("\r\n"), F.lit("\n"))
+
+
+def heading() -> Column:
+    """The first heading of level 1 in the rest; empty where there is none."""
+    return F.regexp_extract(F.concat(F.lit("\n"), "rest"), r"\n[ \t]*#[ \t]+([^\n]+?)[ \t]*#*[ \t]*(\n|$)", 1)
+
+
 def split_documents(docs: DataFrame) -> DataFrame:
     """doc_id, raw -> doc_id, raw, block (lines between the marks; null where there is none), rest (what follows)."""
     head = F.regexp_extract("raw", FRONT, 0)
     there = head != ""
     between = F.regexp_extract("raw", FRONT, 1)  # with the line end before it; empty where the marks are next to each other
     block = F.when(between == "", F.array().cast("array<string>")).otherwise(F.split(F.substr(between, F.lit(2)), r"\r\n|\n", -1))
-    rest = F.replace(F.substr("raw", F.length(head) + 1), F.lit("\r\n"), F.lit("\n"))
-    return docs.select("doc_id", "raw", F.when(there, block).alias("block"), F.when(there, rest).alias("rest"))
+    return docs.select("doc_id", "raw", F.when(there, block).alias("block"), F.when(there, rest()).alias("rest"))
 
 
 def block_lines(parts: DataFrame) -> DataFrame:
@@ -68,9 +77,9 @@ def unquoted(value):
 def titles(parts: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, title of documents with fields: the written one, else the first heading of level 1 in the body."""
     written = found.where((F.col("field") == "title") & ~F.col("value").isin("", '""', "''", "~", "null")).select("doc_id", unquoted(F.col("value")).alias("written"), (F.col("value").rlike(NO_TEXT) | F.col("items").isNotNull()).alias("odd"))
-    heading = F.regexp_extract(F.concat(F.lit("\n"), "rest"), r"\n[ \t]*#[ \t]+([^\n]+?)[ \t]*#*[ \t]*(\n|$)", 1)
+    first = F.col("heading") if "heading" in parts.columns else heading()
     has = found.select("doc_id").distinct()
-    return parts.select("doc_id", heading.alias("heading")).join(has, "doc_id", "left_semi").join(written, "doc_id", "left").select("doc_id", F.coalesce("written", F.nullif("heading", F.lit(""))).alias("title"), F.coalesce("odd", F.lit(False)).alias("odd"))
+    return parts.select("doc_id", first.alias("heading")).join(has, "doc_id", "left_semi").join(written, "doc_id", "left").select("doc_id", F.coalesce("written", F.nullif("heading", F.lit(""))).alias("title"), F.coalesce("odd", F.lit(False)).alias("odd"))
 
 
 def documents(docs: DataFrame, body_as: Callable[[Column], Column] = lambda body: body) -> DataFrame:

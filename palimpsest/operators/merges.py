@@ -55,8 +55,10 @@ def bucket_of(keys: Sequence[str], n: int = BUCKETS):
 
 
 def _commit(spark: SparkSession, root: str, batch: int, rows: DataFrame, schema: str) -> None:
-    """Writes rows (with bucket and _outcome), then the manifest: buckets in which nothing happened stay where they are."""
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/batch={batch}")
+    """Writes rows (with bucket and _outcome), then the manifest: buckets in which nothing happened stay where they are.
+
+    Rows of a bucket are brought together first, as each task writes a file for each bucket that it holds."""
+    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/batch={batch}")
     written = spark.read.schema(f"{schema}, _outcome string, bucket int").parquet(f"{root}/data/batch={batch}")
     happened = F.max(~F.col("_outcome").isin("kept", "unchanged", "absent"))
     counted = {r["bucket"]: r["n"] for r in written.groupBy("bucket").agg(F.count_if(~F.col("_outcome").isin(*GONE)).alias("n"), happened.alias("happened")).where("happened").collect()}

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.durable import durable
 from palimpsest.operators import chunking, frontmatter, merges, texts
+from palimpsest.operators.relevance import small
 
 # The formats by extension, the closed set of document types and the one for all others.
 MARKDOWN, PLAIN, JSON, TYPES, OTHER = ("md", "markdown"), "txt", "json", ("kaggle", "project", "note", "paper"), "note"
@@ -43,6 +45,19 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(name_of(path), r"^(.+)\.[^.]+$", "$1")
 
 
+def _texts(files: DataFrame) -> DataFrame:
+    """path, kind (the extension), raw (the text), reason (why it is not read)."""
+    kind, text = extension(F.col("path")), F.try_validate_utf8(F.col("content").cast("string"))
+    reason = F.when(~kind.isin(*MARKDOWN, PLAIN, JSON, *texts.LANGUAGES), "unsupported").when(text.isNull(), "not_utf8")
+    raw = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    return files.select("path", kind.alias("_kind"), raw.alias("raw"), reason.alias("reason"))
+
+
+def rejected(files: DataFrame) -> DataFrame:
+    """(path, content) -> path, reason of the files that dispatch() does not read."""
+    return _texts(files).select("path", "reason").where("reason is not null")
+
+
 def dispatch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, content) -> documents (path, title, document_type, tags, summary, body) and rejects (path, reason).
 
@@ -50,38 +65,50 @@ def dispatch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     parser that this library does not hold) or bytes that are not UTF-8; a null content is no UTF-8. Line ends become \\n. A path
     that occurs twice is read twice. Markdown takes what its frontmatter says, and its file's name where it has no title.
     """
-    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"\r\n?", "\n")
-    f = files.select("path", extension(F.col("path")).alias("_kind"), text.alias("raw"))
-    read = F.col("_kind").isin(*MARKDOWN, PLAIN, JSON, *texts.LANGUAGES)
-    reason = F.when(~read, "unsupported").when(F.col("raw").isNull(), "not_utf8")
-    rejects = f.select("path", reason.alias("reason")).where("reason is not null")
-    good = f.where(reason.isNull())
+    good = _texts(files).where("reason is null")
     name, bare, kind, raw = name_of(F.col("path")), stem(F.col("path")), F.col("_kind"), F.col("raw")
     tag = F.element_at(F.create_map(*[F.lit(x) for pair in texts.LANGUAGES.items() for x in pair]), kind)
-    first = F.get(F.filter(F.transform(F.split("raw", "\n", -1), texts.strip), lambda x: x != ""), F.lit(0))
-    line = F.substring(F.coalesce(first, bare), 1, 120)
+    first = F.nullif(texts.strip(F.substring_index(F.ltrim(raw, F.lit(texts.BLANKS)), "\n", 1)), F.lit(""))
     fenced = lambda head, tag: F.concat(F.lit("# "), head, F.lit("\n\n```"), tag, F.lit("\n"), texts.strip(raw), F.lit("\n```\n"))
-    plain, json = kind == PLAIN, kind == JSON
-    converted = good.where(~kind.isin(*MARKDOWN)).select(
+    plain, json, line = kind == PLAIN, kind == JSON, F.col("_line")
+    converted = good.where(~kind.isin(*MARKDOWN)).withColumn("_line", F.when(plain, F.substring(F.coalesce(first, bare), 1, 120))).select(
         "path", F.when(plain, line).when(json, bare).otherwise(F.concat(name, F.lit(" ("), tag, F.lit(")"))).alias("title"), F.lit(OTHER).alias("document_type"),
         F.when(plain, F.array(F.lit("text"))).when(json, F.array(F.lit("json"))).otherwise(F.array(F.lit("code"), tag)).alias("tags"),
         F.when(plain, F.concat(F.lit("Plain text document: "), name)).when(json, texts.json_summary(raw)).otherwise(F.concat(F.lit("Source code file "), name)).alias("summary"),
         F.when(plain, F.concat(F.lit("# "), line, F.lit("\n\n"), texts.strip(raw))).when(json, fenced(bare, F.lit("json"))).otherwise(fenced(name, tag)).alias("body"),
     )
-    return converted.unionByName(markdown(good.where(kind.isin(*MARKDOWN)))), rejects
+    return converted.unionByName(markdown(good.where(kind.isin(*MARKDOWN)).select("path", "raw"))), rejected(files)
 
 
 def markdown(files: DataFrame) -> DataFrame:
-    """(path, raw) -> documents: title, type, tags (a list, or words between commas) and summary of the frontmatter, and the body."""
-    docs = files.select(F.col("path").alias("doc_id"), "raw")
-    said = frontmatter.fields(frontmatter.block_lines(frontmatter.split_documents(docs)))
+    """(path, raw) -> documents: title, type, tags (a list, or words between commas) and summary of the frontmatter, and the body.
+
+    The texts are read once for their frontmatter, which is cut off as a small table, and once for their bodies.
+    """
+    docs = files.withColumn("doc_id", F.sha2(F.concat_ws("\n", "path", "raw"), 256))
+    parts = frontmatter.split_documents(docs)
+    front = durable(parts.where("block is not null").select("doc_id", "block", frontmatter.heading().alias("heading")).dropDuplicates(["doc_id"]))
+    lines = durable(frontmatter.block_lines(front))
+    said = durable(frontmatter.fields(lines))
     value = frontmatter.unquoted(F.col("value"))
     of = lambda name, x: F.max(F.when(F.col("field") == name, x))
     listed = F.coalesce(F.transform("items", lambda x: texts.strip(frontmatter.unquoted(x))), F.filter(F.transform(F.split(value, ","), texts.strip), lambda x: x != ""))
     own = said.groupBy("doc_id").agg(of("document_type", value).alias("_type"), of("summary", value).alias("_summary"), of("tags", listed).alias("_tags"))
-    j = frontmatter.documents(docs.dropDuplicates()).join(own, "doc_id", "left")
+    readable = front.select("doc_id").join(lines.where("bad").select("doc_id").distinct(), "doc_id", "left_anti").withColumn("_cut", F.lit(True))
+    told = readable.join(frontmatter.titles(front, said).drop("odd"), "doc_id", "left").join(own, "doc_id", "left")
+    j = docs.join(small(durable(told)), "doc_id", "left")
     kind = F.when(F.col("_type").isin(*TYPES), F.col("_type")).otherwise(OTHER)
-    return j.select(F.col("doc_id").alias("path"), F.coalesce("title", stem(F.col("doc_id"))).alias("title"), kind.alias("document_type"), F.coalesce("_tags", F.array().cast("array<string>")).alias("tags"), F.nullif("_summary", F.lit("")).alias("summary"), "body")
+    body = texts.strip(F.when(F.col("_cut"), frontmatter.rest()).otherwise(F.col("raw")))
+    return j.select("path", F.coalesce("title", stem(F.col("path"))).alias("title"), kind.alias("document_type"), F.coalesce("_tags", F.array().cast("array<string>")).alias("tags"), F.nullif("_summary", F.lit("")).alias("summary"), body.alias("body"))
+
+
+def _merge(store: str, batch: int, files: DataFrame, corpus: str, delete_removed: bool) -> None:
+    index = merges.read(files.sparkSession, f"{store}/documents", DOCUMENTS, batch - 1).where(F.col("corpus_id") == corpus)
+    rows = dispatch(files)[0].dropDuplicates(["path"]).select(F.lit(corpus).alias("corpus_id"), "path", F.sha2(F.concat(F.lit(corpus), F.lit(":"), "path"), 256).alias("id"), F.sha2(F.to_json(F.struct("title", "document_type", "tags", "summary", "body")), 256).alias("hash"), "title", "document_type", "tags", "summary", "body", F.lit(False).alias("deleted"))
+    if delete_removed:
+        gone = index.join(files.select("path"), "path", "left_anti")
+        rows = rows.unionByName(gone.select(*rows.columns[:-1]).withColumn("deleted", F.lit(True)))
+    merges.merge(f"{store}/documents", batch, rows, KEYS, DOCUMENTS, same=["hash"], keep=["id"])
 
 
 def ingest(store: str, batch: int, files: DataFrame, corpus: str, delete_removed: bool = True) -> DataFrame:
@@ -91,20 +118,15 @@ def ingest(store: str, batch: int, files: DataFrame, corpus: str, delete_removed
     was. Documents keep their id; other corpora are not touched; running a batch again changes nothing.
     """
     spark = files.sparkSession
-    documents, rejects = dispatch(files)
-    index = lambda at: merges.read(spark, f"{store}/documents", DOCUMENTS, at).where(F.col("corpus_id") == corpus)
-    rows = documents.dropDuplicates(["path"]).select(F.lit(corpus).alias("corpus_id"), "path", F.sha2(F.concat(F.lit(corpus), F.lit(":"), "path"), 256).alias("id"), F.sha2(F.to_json(F.struct("title", "document_type", "tags", "summary", "body")), 256).alias("hash"), "title", "document_type", "tags", "summary", "body", F.lit(False).alias("deleted"))
-    if delete_removed:
-        gone = index(batch - 1).join(files.select("path"), "path", "left_anti")
-        rows = rows.unionByName(gone.select(*rows.columns[:-1]).withColumn("deleted", F.lit(True)))
-    merges.merge(f"{store}/documents", batch, rows, KEYS, DOCUMENTS, same=["hash"], keep=["id"])
+    if batch not in merges.batches(spark, f"{store}/documents"):
+        _merge(store, batch, files, corpus, delete_removed)
     done = spark.read.schema(f"{DOCUMENTS}, _outcome string").parquet(f"{store}/documents/data/batch={batch}").where(F.col("corpus_id") == corpus)
     touched = done.where("_outcome in ('added', 'changed', 'deleted')")
     cut = chunking.markdown_chunks(touched.where("_outcome <> 'deleted'").select(F.col("path").alias("doc_id"), "body"))
     chunks = cut.select(F.lit(corpus).alias("corpus_id"), F.col("doc_id").alias("path"), F.col("chunk_no").alias("order_index"), F.col("path").alias("heading_path"), "text")
     merges.replace(f"{store}/chunks", batch, chunks, touched, KEYS, CHUNKS)
     told = done.where("_outcome not in ('kept', 'absent')").select("path", F.col("_outcome").alias("outcome"), F.lit(None).cast("string").alias("reason"))
-    return told.unionByName(rejects.select("path", F.lit("failed").alias("outcome"), "reason"))
+    return told.unionByName(rejected(files).select("path", F.lit("failed").alias("outcome"), "reason"))
 
 
 def sync_directory(spark: SparkSession, store: str, batch: int, root: str, corpus: str, pattern: str = "*.md", delete_removed: bool = True) -> DataFrame:

@@ -1,10 +1,13 @@
 """What grows with the input alone: rows that steps make, and results that stay as they were."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import extraction, frontmatter, select
+from palimpsest.operators import extraction, frontmatter, select, texts
 from palimpsest.plans import markdown
+from palimpsest.sources import directory
 
 from .conftest import SF
 
@@ -69,3 +72,30 @@ def test_fronts_end_where_their_second_mark_does(spark):
 def test_digests_of_bodies_are_taken_before_texts_are_shuffled(spark):
     plan = markdown.frontmatter_documents(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2" not in plan.split("Join")[0]
+
+
+def test_a_sync_reads_its_files_for_fronts_and_for_bodies_only(spark, tmp_path):
+    """Texts are read twice a batch, whatever the parts of a frontmatter are, and not at all when a batch runs again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def content(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    files = spark.createDataFrame([(f"{i}.md", f"---\ntitle: T {i}\ntags: [a]\n---\n# H\n\nText {i}".encode()) for i in range(50)], "path string, content binary").repartition(2)
+    store = str(tmp_path / "store")
+    assert directory.ingest(store, 0, files.mapInPandas(content, files.schema), "k", delete_removed=False).where("outcome = 'added'").count() == 50
+    first = read.value
+    assert first <= 3 * 50  # with the rejects
+    directory.ingest(store, 0, files.mapInPandas(content, files.schema), "k", delete_removed=False)
+    assert read.value == first
+    held = [len(os.listdir(f"{store}/{t}/data/batch=0/{b}")) for t in ("documents", "chunks") for b in os.listdir(f"{store}/{t}/data/batch=0") if b.startswith("bucket=")]
+    assert max(held) <= 2  # a file and its checksum: a bucket is written by one task
+
+
+def test_strip_is_that_of_patterns(spark):
+    odd = ["", " ", "a", " \t\n\x0b\f\ra b\r\f\x0b\n\t ", "a \u0085", "a \u0085 ", "\u0085", "  ", "a\n \n ", "  a  ", "\x1c a \x1c", None]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    for got, want in df.select(texts.strip(F.col("x")), F.regexp_replace("x", r"^\s+|\s+$", "")).collect():
+        assert got == want
