@@ -75,8 +75,9 @@ def threshold_join(spark: SparkSession, d: str) -> DataFrame:
     """Documents that reach 0.6 of each passage, and how many became candidates."""
     q, _, docs = _subjects(spark, d)
     index = relevance.term_index(docs)
-    met = relevance.threshold_heads(q, index, subjects.HINT)[2].groupBy("question_id").agg(F.count("*").alias("n_candidates"))
-    found = relevance.overlap_above(q, index, subjects.HINT).groupBy("question_id").agg(F.count("*").alias("n_found"), F.max("score").alias("best"))
+    heads = relevance.threshold_heads(q, index, subjects.HINT)
+    met = heads[2].groupBy("question_id").agg(F.count("*").alias("n_candidates"))
+    found = relevance.overlap_above(q, index, subjects.HINT, heads).groupBy("question_id").agg(F.count("*").alias("n_found"), F.max("score").alias("best"))
     return q.select("question_id").join(met, "question_id", "left").join(found, "question_id", "left").na.fill(0, ["n_candidates", "n_found"])
 
 
