@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.durable import durable
 from palimpsest.operators import gates
 from palimpsest.operators.relevance import overlap_above, small, subject_terms, term_index
 
@@ -25,17 +26,19 @@ def subject_gates(subjects: DataFrame, docs: DataFrame, scores: DataFrame) -> Da
     """
     asked = subjects.select("question_id", F.explode(subject_terms(F.col("subject"))).alias("term"))
     wanted = small(asked.select("term").distinct())
+    # variants share their first four letters: texts are read once, for terms that begin as one of the subjects' does
+    heads = small(asked.select(F.substring("term", 1, 4).alias("head")).distinct())
     words = docs.select("doc_id", F.explode(subject_terms(F.col("text"))).alias("term"))
-    postings = words.join(wanted, "term", "left_semi")
+    words = durable(words.withColumn("head", F.substring("term", 1, 4)).join(heads, "head", "left_semi"))
+    postings = words.select("doc_id", "term").join(wanted, "term", "left_semi")
     known = postings.select("term").distinct().withColumn("known", F.lit(True))
     n_docs = docs.count()
     terms = asked.join(known, "term", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    # variants share their first four letters, so only such terms of the vocabulary meet an absent one
     absent = terms.where("not known").select(F.col("term").alias("gone"), F.substring("term", 1, 4).alias("head")).distinct()
-    vocabulary = words.join(small(absent.select("head").distinct()), F.substring("term", 1, 4) == F.col("head"), "left_semi").select("term").distinct()
+    vocabulary = words.select("head", "term").distinct()
     shared = F.greatest(F.lit(4), F.least(F.length("gone"), F.length("term")) - 1)
     same = (F.length("gone") >= shared) & (F.length("term") >= shared) & (F.col("gone").substr(F.lit(1), shared) == F.col("term").substr(F.lit(1), shared))
-    varied = absent.join(vocabulary.withColumn("head", F.substring("term", 1, 4)), "head").where(same).select(F.col("gone").alias("term"), F.lit(True).alias("varied")).distinct()
+    varied = absent.join(vocabulary, "head").where(same).select(F.col("gone").alias("term"), F.lit(True).alias("varied")).distinct()
     telling = ~F.col("known") & F.col("varied").isNull() & ((F.length("term") <= 3) | (F.length("term") >= 6))
     per = terms.join(varied, "term", "left").groupBy("question_id").agg(F.count_if("known").alias("present"), F.count_if(F.col("known") & ~F.col("term").isin(*GENERIC)).alias("special"), F.max(telling).alias("telling"))
     about = postings.join(small(asked), "term").select("question_id", "doc_id").distinct()

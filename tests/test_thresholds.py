@@ -70,3 +70,24 @@ def test_sliding_windows_hold_an_event_each(spark):
     raw = write(spark, folder, "events", "event_type string, t string", [("a", "2024-01-01 05:00:00"), ("a", "2024-01-01 07:00:00")], [("b", "2024-01-05 00:00:00")])
     out = activity.drain(activity.windowed_activity(raw.select("event_type", F.to_timestamp("t").alias("ts")), "12 hours", "1 hour", "6 hours"), f"{folder}/s")
     assert sorted((r.start.day, r.start.hour, r.n) for r in out.where("event_type = 'a'").collect()) == [(1, 0, 2), (1, 6, 1), (31, 18, 1)]
+
+
+def test_texts_are_read_once(spark):
+    """Of an index as of whole scores: what is asked of the texts is cut off before it is counted, met and scored."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    q = spark.createDataFrame([(i, f"alpha beta{i} gamma delta{i}") for i in range(5)], "question_id long, text string")
+    d = spark.createDataFrame([(i, f"alpha beta{i % 7} gamma delta{i % 5} epsilon") for i in range(40)], "doc_id long, text string").repartition(2)
+    docs = d.mapInPandas(counted, d.schema)
+    index = relevance.term_index(docs)
+    heads = relevance.threshold_heads(q, (index[0], d.agg(F.count("*").alias("n_docs"))), 0.6)
+    assert relevance.overlap_above(q, index, 0.6, heads).count() > 0 and heads[2].count() > 0 and read.value == 40
+    read.value = 0
+    scores = relevance.overlap_scores(q, d)
+    s = q.select("question_id", F.lit("beta1 betax").alias("subject"))
+    assert subjects.subject_gates(s, docs, scores).count() == 5 and read.value <= 2 * 40  # once, and once to count the documents
