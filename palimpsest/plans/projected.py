@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.durable import durable
 from palimpsest.operators import closures, projection
 from palimpsest.plans.registry import ARCHIVE_SQL, EARLY, EDGES_SQL, NOW
 from palimpsest.sources import archive
@@ -24,12 +25,11 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 def projected_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers are digested once for each scope, and only the digests go to its requests."""
-    v = archive.versions(spark, d)
-    c = archive.claims(v)
+    v = durable(archive.versions(spark, d))
+    c = durable(archive.claims(v))
     e = archive.evidence(c).select("claim_id", F.col("start_offset").cast("int").alias("start_offset"), F.col("end_offset").cast("int").alias("end_offset"))
     asked = _asked(spark, d)
-    found = projection.answers(asked, v, c, e).select(*projection.SCOPE, F.col("answer.state").alias("state"), F.size("answer.documents").alias("n_documents"), F.size("answer.conflicts").alias("n_conflicts"), F.sha2(F.to_json("answer"), 256).alias("digest"))
-    return projection.to_requests(asked, found)
+    return projection.to_requests(asked, projection.digests(asked, v, c, e))
 
 
 def conflict_closures(spark: SparkSession, d: str) -> DataFrame:

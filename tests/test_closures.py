@@ -1,6 +1,7 @@
 """Closures, peeling, circles and whole answers on small cases against plain Python."""
 
 import datetime
+import hashlib
 import random
 
 import duckdb
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from palimpsest.operators import closures, projection
 from palimpsest.plans import projected
 
+from .conftest import SF
+
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
@@ -98,3 +101,32 @@ def test_answers_are_one_a_scope(spark):
     found = projection.answers(asked, v, c, e)
     assert sorted((r.path, r.answer.state, len(r.answer.documents)) for r in found.collect()) == [("", "current", 1), ("p", "current", 1)]
     assert projection.to_requests(asked, found.select(*projection.SCOPE, "answer.state")).groupBy("state").count().collect() == [("current", 100)]
+
+
+def test_digests_are_of_whole_answers(spark):
+    """Streamed digests equal those of nested answers; no row of the way there holds more than a piece of a corpus' answer."""
+    rng = random.Random(3)
+    v = [(f"c{i % 2}", i % 12, i, i // 12 + 1, rng.choice(["NEW", "MODIFIED", "MODIFIED", "DELETED"]), i // 12) for i in range(60)]
+    c = [(f"{n:02}{'é' * rng.randrange(3)}:{k}", corpus, doc, f'p"{doc % 5}', f"k{rng.randrange(6)}", rng.randrange(3), n, at) for corpus, doc, n, _, event, at in v if event != "DELETED" for k in range(3)]
+    c = [(*x, rng.choice([None, None, y[0]]) if x[1] == y[1] else None) for x, y in zip(c, [*c[3:], *c[:3]], strict=True)]
+    v = spark.createDataFrame(v, "corpus_id string, doc_id long, version_id long, version_number int, event string, at int").select("*", F.timestamp_seconds("at").alias("observed_at")).drop("at")
+    c = spark.createDataFrame(c, "claim_id string, corpus_id string, doc_id long, path string, key string, val int, version_id long, at int, supersedes_id string")
+    c = c.select("*", F.timestamp_seconds("at").alias("observed_at"), F.when(F.col("val") == 1, F.timestamp_seconds("at")).alias("valid_from"), F.when(F.col("val") == 2, F.timestamp_seconds(F.col("at") + 2)).alias("valid_until")).drop("at")
+    e = c.where("val > 0").select("claim_id", F.explode(F.array(F.lit(5), F.lit(1))).alias("start_offset"), F.lit(9).alias("end_offset"))
+    asked = [(f"c{i}", at, path) for i in range(3) for at in (-1, 0, 2, 9) for path in (None, 'p"0', 'p"1', 'p"4', "none")]
+    asked = spark.createDataFrame(asked, "corpus_id string, at int, path string").select("corpus_id", F.timestamp_seconds("at").alias("as_of"), "path")
+    want = projection.answers(asked, v, c, e).select(*projection.SCOPE, "answer.state", F.size("answer.documents"), F.size("answer.conflicts"), F.sha2(F.to_json("answer"), 256))
+    got = projection.digests(asked, v, c, e)
+    assert rows(got) == rows(want) and got.count() == 60 and {r.state for r in got.where("path <> ''").collect()} == {"conflicting", "current", "unknown"}
+
+
+def test_a_corpus_is_one_row_nowhere(spark):
+    n = 4_000
+    v = spark.range(n).select(F.lit("c").alias("corpus_id"), F.col("id").alias("doc_id"), F.col("id").alias("version_id"), F.lit(1).alias("version_number"), F.lit("NEW").alias("event"), F.timestamp_seconds(F.lit(1)).alias("observed_at"))
+    c = v.select(F.col("doc_id").cast("string").alias("claim_id"), "corpus_id", "doc_id", F.format_string("p%05d", "doc_id").alias("path"), F.lit("k").alias("key"), F.lit(1).alias("val"), "version_id", "observed_at", F.lit(None).cast("string").alias("supersedes_id"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"))
+    e = c.select("claim_id", F.lit(0).alias("start_offset"), F.lit(projection.PIECE).alias("end_offset"))
+    asked = spark.createDataFrame([("c", None)], "corpus_id string, path string").withColumn("as_of", F.timestamp_seconds(F.lit(9)))
+    found = projection.digests(asked, v, c, e)
+    answer = '{"state":"current","documents":[' + ",".join(f'{{"path":"p{i:05}","current":[{{"key":"k","claim_id":"{i}","val":1,"evidence":[{{"start_offset":0,"end_offset":{projection.PIECE}}}]}}],"historical":[],"uncertain":[]}}' for i in range(n)) + '],"conflicts":[],"sources":[' + ",".join(map(str, range(n))) + "]}"
+    assert "flatten" not in projected.projected_answers(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found.select("state", "n_documents", "n_conflicts", "digest")) == [("current", n, 0, hashlib.sha256(answer.encode()).hexdigest())]
