@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import matching, overlaps
+from palimpsest.operators import matching, overlaps, select
 
 FLOOR = 0.3
 
@@ -74,3 +74,41 @@ def test_candidates_of_the_rarest_term_and_of_a_share_each(spark):
     pairs = lambda share: {tuple(r) for r in matching.candidates(asked, items, "said", share).collect()}
     assert pairs(None) == {(1, 1), (3, 1)} | {(2, i) for i in range(5)}
     assert pairs(F.col("least")) == {(1, 1), (3, 1), (3, 2)} | {(2, i) for i in range(5)}
+
+
+def shuffled(df):
+    """Rows of the result, and how many rows its last plan shuffled."""
+    out, n, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if "QueryStage" in name else []
+        made, children = p.metrics().get("shuffleRecordsWritten"), p.children()
+        n += made.get().value() if made.isDefined() else 0
+        todo += [children.apply(i) for i in range(children.size())]
+    return sorted(map(tuple, out)), n
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lists_in_segments_equal_lists_of_rows(spark, monkeypatch, seed):
+    """Blocks of three keys, so that segments begin, end and change inside and between them."""
+    monkeypatch.setattr(select, "BLOCK", 3)
+    r = random.Random(seed)
+    common, rare = ["user", "click", "view", "of"], [f"w{i}" for i in range(12)]
+    asked = [(i, f"c{i % 2}", sorted(set(r.sample(common, r.randint(0, 3)) + r.sample(rare, r.randint(0, 4)))) or ["user"]) for i in range(50)]
+    claims = [(f"{i}", f"c{i % 2}", f"k{r.randrange(25):02}", sorted(set(r.sample(common, r.randint(0, 3)) + r.sample(rare, r.randint(0, 2)))), r.choice([None, "x", "x", "x"]), r.choice([None, None, "y"])) for i in range(300)]
+    x = overlaps.overlaps(spark.createDataFrame(asked, "request_id long, corpus_id string, terms array<string>"), spark.createDataFrame([(c[0], c[1], c[3]) for c in claims], "item_id string, corpus_id string, said array<string>"), "said", 40)
+    c = spark.createDataFrame([(*c[:3], *c[4:]) for c in claims], "claim_id string, corpus_id string, key string, valid_from string, valid_until string")
+    want = select.near_tie_order(select.overlap_keys(x, c, FLOOR, 0.5), c)
+    got = select.overlap_tie_order(x, c, FLOOR, 0.5)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and x.near.count() > 100
+
+
+def test_listed_rows_are_not_shuffled(spark):
+    n = 300
+    asked = spark.range(n).select(F.col("id").alias("request_id"), F.lit("c").alias("corpus_id"), F.array(F.lit("click"), F.lit("user"), F.format_string("n%d", "id")).alias("terms"))
+    c = spark.range(n).select(F.format_string("i%03d", "id").alias("claim_id"), F.lit("c").alias("corpus_id"), F.format_string("k%03d", "id").alias("key"), F.array(F.lit("click"), F.lit("user"), F.format_string("n%d", "id")).alias("said"), F.when(F.col("id") % 2 == 0, "x").alias("valid_from"), F.lit(None).cast("string").alias("valid_until"))
+    x = overlaps.overlaps(asked, c.select("corpus_id", F.col("claim_id").alias("item_id"), "said"), "said", 60)
+    rows, moved = shuffled(select.overlap_tie_order(x, c, FLOOR, 0.5))
+    before, moved_before = shuffled(select.near_tie_order(select.overlap_keys(x, c, FLOOR, 0.5), c))
+    assert rows == before and len(rows) == n * n and moved < 10 * n < n * n < moved_before
